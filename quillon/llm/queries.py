@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from quillon.llm.decontamination import op1_decontamination
+from quillon.llm.quality_rules import op7_quality_rules
 from quillon.llm.sentencepiece_fst import op4_sentencepiece
 from quillon.llm.token_counts import op3_token_counts
 from quillon.llm.token_output import op2_token_output
+from quillon.llm.url_filter import op9_url_filter
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op2_token_output, op3_token_counts, op4_sentencepiece)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_output, op3_token_counts, op4_sentencepiece, op7_quality_rules, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
