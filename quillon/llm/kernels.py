@@ -8,6 +8,7 @@ Nulls count as empty texts. Hashes are 64 bits, made by a polynomial over the by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -161,30 +162,31 @@ class Memory:
     and frequent strings remain. Strings longer than ``longest`` are computed each time.
     """
 
-    def __init__(self, compute, most: int = 250_000, longest: int = 64):
+    def __init__(self, compute, most: int = 400_000, longest: int = 64):
         self.compute, self.most, self.longest, self.new, self.old = compute, most, longest, {}, {}
 
-    def all_of(self, keys: set[str]) -> dict:
-        """A dict with all the keys in it; compute(list of strings) gives those not known."""
+    def values(self, keys: list[str]) -> list:
+        """compute's results for the keys, in order; no result is None."""
         if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = keys.difference(new)
-        unknown = []
-        for k in missing:
-            if k in old:
-                new[k] = old[k]
-            else:
-                unknown.append(k)
-        if not unknown:
-            return new
-        got = zip(unknown, self.compute(unknown), strict=True)
-        if all(len(k) <= self.longest for k in unknown):
-            new.update(got)
-            return new
-        out = dict(got)
-        new.update((k, v) for k, v in out.items() if len(k) <= self.longest)
-        return {k: out[k] if k in out else new[k] for k in keys}
+        new = self.new
+        out = list(map(new.get, keys))
+        if None in out:
+            places = [i for i, v in enumerate(out) if v is None]
+            found = {keys[i]: None for i in places}
+            found = dict(zip(found, map(self.old.get, found), strict=True))
+            if unknown := [k for k, v in found.items() if v is None]:
+                found.update(zip(unknown, self.compute(unknown), strict=True))
+            for i in places:
+                out[i] = found[keys[i]]
+            new.update(found if max(map(len, found)) <= self.longest else {k: v for k, v in found.items() if len(k) <= self.longest})
+        return out
+
+    def by_text(self, runs: list[list[str]]) -> list[list]:
+        """The results for the runs of each text."""
+        flat = self.values([x for r in runs for x in r])
+        ends = list(accumulate(map(len, runs)))
+        return [flat[i:j] for i, j in zip([0, *ends], ends)]  # noqa: B905
 
 
 _workers: dict = {}

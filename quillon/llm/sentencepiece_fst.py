@@ -55,8 +55,7 @@ class Transducer:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         runs = [self.pieces.runs(t) for t in texts]
-        known = self.known.all_of(set().union(*runs))
-        return [np.frombuffer(b"".join(map(known.__getitem__, r)), "<i4") for r in runs]
+        return [np.frombuffer(b"".join(x), "<i4") for x in self.known.by_text(runs)]
 
     def decode(self, ids) -> str:
         """The inverse transducer: pieces and bytes to text, marks to spaces, without the first mark."""

@@ -43,12 +43,11 @@ class Counter:
                     out[i] = sum(1 if k != -1 else len(self.pieces.fallback(runs[i][at])) for at, _, k in self.pieces.path(runs[i]))
             return out.tolist()
 
-        self.known = Memory(compute, most=400_000)
+        self.known = Memory(compute)
 
     def count(self, texts: list[str | None]) -> list[int]:
         runs = [self.pieces.runs(t) for t in texts]
-        known = self.known.all_of(set().union(*runs))
-        return [sum(map(known.__getitem__, r)) for r in runs]
+        return list(map(sum, self.known.by_text(runs)))
 
 
 def token_counts(docs: DataFrame, model: str, text: str = "text", into: str = "n_tokens") -> DataFrame:

@@ -18,7 +18,9 @@ table gives files without rows.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,10 @@ from pyspark.sql import functions as F
 
 from quillon.llm.kernels import Memory, bounded_batches, shared_dir, worker
 
+#: A control character; its id stands for no other text.
+MARK = "\x01"
+
+
 class Encoder:
     """Whole texts to ids by the tokenizers library.
 
@@ -37,20 +43,40 @@ class Encoder:
     """
 
     def __init__(self, path: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the unit of parallel work
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<i4").tobytes()
 
+        def alone(run: str) -> bytes:
+            return array("i", tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+
+        mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+        joined = len(mark) == 1
+
         def compute(runs: list[str]) -> list[bytes]:
-            return [np.array(tokenizer.encode(run, add_special_tokens=False).ids, "<i4").tobytes() for run in runs]
+            """Many runs at once, with a run between them that no other run's ids have."""
+            out = [b""] * len(runs)
+            some = []
+            for i, run in enumerate(runs):
+                if joined and MARK not in run and "<|" not in run:
+                    some.append(i)
+                else:
+                    out[i] = alone(run)
+            for k in range(0, len(some), 500):
+                part = some[k : k + 500]
+                ids = np.array(tokenizer.encode_batch_fast([f" {MARK} ".join([runs[i] for i in part])], add_special_tokens=False)[0].ids, "<i4")
+                raw, cuts = ids.tobytes(), (np.flatnonzero(ids == mark[0]) * 4).tolist()
+                for i, begin, end in zip(part, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True):
+                    out[i] = raw[begin:end]
+            return out
 
         self.known = Memory(compute)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         runs = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        known = self.known.all_of(set().union(*runs))
-        return [np.frombuffer(b"".join([*map(known.__getitem__, r), self.end]), "<i4") for r in runs]
+        return [np.frombuffer(b"".join(x) + self.end, "<i4") for x in self.known.by_text(runs)]
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, shards: int | None = None) -> None:
