@@ -7,6 +7,7 @@ from collections.abc import Callable
 from quillon.llm.decontamination import op1_decontamination
 from quillon.llm.html_extraction import op10_html_extraction
 from quillon.llm.language_id import op6_language_id
+from quillon.llm.ngram_join import op5_ngram_join
 from quillon.llm.quality_classifier import op8_quality_classifier
 from quillon.llm.quality_rules import op7_quality_rules
 from quillon.llm.sentencepiece_fst import op4_sentencepiece
@@ -16,7 +17,7 @@ from quillon.llm.url_filter import op9_url_filter
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_output, op3_token_counts, op4_sentencepiece, op6_language_id, op7_quality_rules, op8_quality_classifier, op9_url_filter, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_output, op3_token_counts, op4_sentencepiece, op5_ngram_join, op6_language_id, op7_quality_rules, op8_quality_classifier, op9_url_filter, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
