@@ -120,11 +120,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 5, share: int = 20) -> DataFrame:
-    """Every document's n_words, n_hit, items, and contaminated: at least one word in ``share`` is hit."""
+    """Every document's text_key, n_words, n_hit, items, and contaminated: at least one word in ``share`` is hit."""
     hit = contamination(docs, benchmark, span, k)
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     same = base["doc_id"].eqNullSafe(hit["doc_id"]) & (base["text_key"] == hit["text_key"])
-    out = base.join(hit, same, "left").select(base["doc_id"], "n_words", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = base.join(hit, same, "left").select(base["doc_id"], base["text_key"], "n_words", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -108,6 +108,15 @@ def digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     return _apply(docs, model, text, "n_tokens long, ids_crc32 long, round_trip boolean", columns)
 
 
+def encoded(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """docs without the text, with ids, n_tokens and round_trip."""
+
+    def columns(ids, decoded, texts):
+        return [_lists(ids), pa.array(list(map(len, ids)), pa.int64()), pa.array([d == (t or "").replace(MARK, " ") for d, t in zip(decoded, texts, strict=True)], pa.bool_())]
+
+    return _apply(docs, model, text, "ids array<int>, n_tokens long, round_trip boolean", columns)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -55,7 +55,7 @@ class Encoder:
         mark = tokenizer.encode(MARK, add_special_tokens=False).ids
         joined = len(mark) == 1
 
-        def compute(runs: list[str]) -> list[bytes]:
+        def joint(runs: list[str]) -> list[bytes]:
             """Many runs at once, with a run between them that no other run's ids have."""
             out = [b""] * len(runs)
             some = []
@@ -72,6 +72,24 @@ class Encoder:
                     out[i] = raw[begin:end]
             return out
 
+        ends = {c: alone(c) for c in ".,"}
+
+        def compute(runs: list[str]) -> list[bytes]:
+            """A run is encoded as its stem, in which the normalizer sees the same letters, and the mark after a last letter,
+            which the splitting pattern always parts from a small letter."""
+            stems, tails = [], []
+            for run in runs:
+                stem = run.lower() if run.isascii() else run[0].lower() + run[1:] if run[0].isascii() else run
+                last = stem[-2:-1]
+                tail = ends.get(stem[-1:]) if last.isalpha() and last.islower() else None
+                stems.append(stem if tail is None else stem[:-1])
+                tails.append(tail)
+            new, old = self.known.new, self.known.old
+            found = {stem: new.get(stem) or old.get(stem) for stem in stems}
+            unknown = [stem for stem, v in found.items() if v is None]
+            found.update(zip(unknown, joint(unknown), strict=True))
+            return [found[stem] if tail is None else found[stem] + tail for stem, tail in zip(stems, tails, strict=True)]
+
         self.known = Memory(compute)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
