@@ -4,12 +4,13 @@ A document's set holds its distinct ``n``-word shingles, as 64-bit hashes; their
 equal sets are one class, whose smallest document id stands for it. Two classes link if the sets' Jaccard similarity is
 ``percent`` / 100 or more.
 
-1. Candidates. The order is cut into fragments, 2 ** j of equal width for sets of a size. Two linked sets differ in at
-   most D elements, which their sizes bound, so with more than D fragments one at least is the same on either side. j is
-   the least with 2 ** j > D + SPARE; sets near the edge of a size class take part in both classes. Each set gives a key
-   for each fragment that isn't empty: a hash of class, fragment and content. Since an empty fragment gives no key, a
-   set with more than SPARE empty ones also gives a key for each of those. So no link is lost. Unlike a single rare
-   n-gram, a fragment of some 5 to 10 n-grams is seldom the same in documents that only share a passage.
+1. Candidates. The order is cut into 2 ** j fragments of equal width, with j by the size of the set. Two linked sets differ
+   in at most D elements, which their sizes bound, so at least 2 ** j - D fragments are the same on either side. j is the
+   least that leaves some to spare; sets near the edge of a size class take part in both classes. Each set gives a key
+   for each fragment that isn't empty: a hash of class, fragment and content. Two linked sets share such a key unless all
+   the fragments that they share are empty; a set with so many empty ones (few have) also gives keys for these. So no
+   link is lost. Unlike a single rare n-gram, a fragment of some 5 to 10 n-grams is seldom the same in documents that
+   only share a passage.
 2. Sets with a key in common are joined to the smallest of them: one pair a set and key, never all pairs. The components
    of these pairs are groups that hold all links.
 3. Partial overlaps. Each group's sets are dealt to blocks of bounded size (``BLOCK_SETS`` sets, ``BLOCK_ITEMS`` n-grams),
@@ -40,7 +41,6 @@ from quillon.llm import kernels as K
 from quillon.llm.components import components
 
 U = np.uint64
-SPARE = 1
 BLOCK_SETS, BLOCK_ITEMS = 1024, 1_000_000
 CELLS = 4_000_000
 
@@ -77,21 +77,37 @@ def most_apart(size: int, percent: int) -> int:
     return (2 * size * (100 - percent)) // (100 + percent)
 
 
-def levels(size: int, percent: int) -> list[int]:
-    """The classes j that a set takes part in: its own, and those of larger sets that it can be linked to."""
-    own, largest = (max(most_apart(s, percent) + SPARE, 1).bit_length() for s in (size, size * 100 // percent))
-    return list(range(max(own, (1 + SPARE).bit_length()), largest + 1))  # sets that may not differ are one class
+def spare(apart: int) -> int:
+    return 1 + apart // 64
+
+
+def level(apart: int) -> int:
+    """The least j with 2 ** j > apart + spare(apart)."""
+    return (apart + spare(apart)).bit_length()
+
+
+def levels(size: int, percent: int) -> list[tuple[int, int]]:
+    """The classes j that a set takes part in, its own and those of larger sets that it can be linked to; and how many empty
+    fragments it may have there, so that with a linked set it still shares a fragment that isn't empty."""
+    own, most = most_apart(size, percent), most_apart(size * 100 // percent, percent)
+    out = []
+    for j in range(level(max(own, 1)), level(most) + 1 if most else 0):  # sets that may not differ are one class
+        most_here = ((1 << j) - 2) * 64 // 65 + 1
+        while level(most_here) > j:
+            most_here -= 1
+        out.append((j, (1 << j) - min(most, most_here) - 1))
+    return out
 
 
 def keys_of(items: np.ndarray, percent: int) -> np.ndarray:
     """The keys of a set (sorted hashes)."""
     out = [np.zeros(0, U)]
-    for j in levels(len(items), percent):
+    for j, most_empty in levels(len(items), percent):
         part = (items >> U(64 - j)).astype(np.int64)
         first = np.flatnonzero(np.diff(part, prepend=-1))
         content = np.add.reduceat(K.mix(items + U(0x632BE59BD9B4E019)), first)
         out.append(K.mix(content + K.mix(part[first].astype(U) + U(j << 56))))
-        if (1 << j) - len(first) > SPARE:
+        if (1 << j) - len(first) > most_empty:
             empty = np.setdiff1d(np.arange(1 << j), part[first])
             out.append(K.mix(K.mix(empty.astype(U) + U(j << 56)) ^ U(0xA0761D6478BD642F)))
     return np.concatenate(out)
