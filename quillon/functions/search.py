@@ -31,11 +31,19 @@ def tokens(text: Column, stop_words: bool = False) -> Column:
     return F.filter(out, lambda t: ~t.isin(STOP_WORDS)) if stop_words else out
 
 
+def _begins(q: str):
+    return lambda t: t.startswith(q)
+
+
+def _equals(q: str):
+    return lambda t: t == q
+
+
 def matches(text: Column, query: str) -> Column:
     """All tokens of the query are tokens of the text, or begin some. A blank query, or a null text, matches."""
     found = F.lit(True)
     for q in tokenize(query):
-        found = found & F.exists(tokens(text), lambda t, q=q: t.startswith(q))
+        found = found & F.exists(tokens(text), _begins(q))
     return F.coalesce(found, F.lit(True))
 
 
@@ -48,7 +56,7 @@ def matches_any(texts: list[Column], query: str) -> Column:
     for q in wanted if texts else []:
         one = F.lit(False)
         for text in texts:
-            one = one | F.coalesce(F.exists(tokens(text), lambda t, q=q: t.startswith(q)), F.lit(False))
+            one = one | F.coalesce(F.exists(tokens(text), _begins(q)), F.lit(False))
         found = found & one
     return found
 
@@ -64,8 +72,8 @@ def score(text: Column, query: str) -> Column:
         length = F.size(t).cast("double")
         hits, frequency = F.lit(0.0), F.lit(0.0)
         for q in wanted:
-            exact = F.size(F.filter(t, lambda x, q=q: x == q)).cast("double")
-            prefix = F.size(F.filter(t, lambda x, q=q: x.startswith(q))).cast("double")
+            exact = F.size(F.filter(t, _equals(q))).cast("double")
+            prefix = F.size(F.filter(t, _begins(q))).cast("double")
             hits = hits + F.when(prefix > 0, 1.0).otherwise(0.0)
             frequency = frequency + exact + (prefix - exact) * 0.5
         return F.when((length > 0) & (hits > 0), hits / float(len(wanted)) * (1.0 + frequency / length) / F.log1p(length)).otherwise(0.0)

@@ -131,8 +131,8 @@ _filter("filter_custom_regex", "customer", ["c_custkey", "c_name"], {"c_name": {
 _query("select_fields", "orders", "SELECT o_orderkey, o_orderdate FROM orders", select=["o_orderkey", "o_orderdate", "nowhere"])
 _query("select_all", "region", "SELECT * FROM region", select=[])
 _query("select_nested", "events", "SELECT event_id, event_type AS kind FROM events", prepare=_props, select={"event_id": True, "meta": {"deep": {"kind": True}}}, then=lambda df: df.select("event_id", F.col("meta.deep.kind").alias("kind")))
-_COMPUTED = {"net": lambda: F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2), "big": lambda: F.col("l_quantity") > 40}
-_query("computed_fields", "lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount), 2) AS net, l_quantity > 40 AS big FROM lineitem", computed=_COMPUTED, select=["l_orderkey", "l_linenumber", "l_partkey", "net", "big"])
+_COMPUTED = {"net": lambda: F.col("l_extendedprice") * (1 - F.col("l_discount")), "big": lambda: F.col("l_quantity") > 40}
+_query("computed_fields", "lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) AS net, l_quantity > 40 AS big FROM lineitem", computed=_COMPUTED, select=["l_orderkey", "l_linenumber", "l_partkey", "net", "big"])
 _query("computed_filter_sort", "orders", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_totalprice * 2 > 100000 ORDER BY twice DESC, o_orderkey LIMIT 50", computed={"twice": lambda: F.col("o_totalprice") * 2}, where={"twice": {"$gt": 100000}}, sort={"twice": "desc"}, limit=50, select=["o_orderkey", "twice"])
 
 # joins
@@ -211,16 +211,16 @@ _cursor("cursor_string_mode", "SELECT o_orderkey, o_orderpriority, o_totalprice,
 
 # search; the oracle's tokens: lower case, split at white space, outer marks off
 
-_SPLIT = r"list_filter(list_transform(regexp_split_to_array(lower({}), '[\t\n\x0b\f\r \x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+'), t -> regexp_replace(t, '^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$', '', 'g')), t -> t <> '')"
+_SPLIT = r"list_filter(list_transform(regexp_split_to_array(lower({}), '[\t\n\x0b\f\r \x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+'), lambda t: regexp_replace(t, '^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$', '', 'g')), lambda t: t <> '')"
 _TOKENS = _SPLIT.format("text")
 
 
 def _has(tokens: str, *query: str) -> str:
-    return " AND ".join(f"len(list_filter({tokens}, t -> starts_with(t, '{q}'))) > 0" for q in query)
+    return " AND ".join(f"len(list_filter({tokens}, lambda t: starts_with(t, '{q}'))) > 0" for q in query)
 
 
 def _points(tokens: str, *query: str) -> str:
-    one = lambda q, f: f"len(list_filter({tokens}, t -> {f.format(q)}))"
+    one = lambda q, f: f"len(list_filter({tokens}, lambda t: {f.format(q)}))"
     hits = " + ".join(f"(CASE WHEN {one(q, "starts_with(t, '{}')")} > 0 THEN 1.0 ELSE 0.0 END)" for q in query)
     freq = " + ".join(f"({one(q, "t = '{}'")} + 0.5 * ({one(q, "starts_with(t, '{}')")} - {one(q, "t = '{}'")}))" for q in query)
     return f"CASE WHEN ({hits}) > 0 THEN ({hits}) / {len(query)} * (1.0 + ({freq}) / len({tokens})) / ln(1 + len({tokens})) ELSE 0.0 END"
@@ -235,7 +235,7 @@ _query("search_scores", "documents", f"SELECT doc_id, round({_points(_TOKENS, 't
 _query("search_relevance_topk", "documents", f"SELECT doc_id, round({_points(_TOKENS, 'der')}, 6) AS score FROM documents WHERE {_has(_TOKENS, 'der')} ORDER BY {_points(_TOKENS, 'der')} DESC, doc_id LIMIT 10", where={"$search": {"query": "der", "fields": ["text"]}}, limit=10, then=lambda df: df.select("doc_id", F.round(plans.SCORE, 6).alias("score")))
 _query("search_with_filter", "documents", f"SELECT doc_id, lang FROM documents WHERE lang = 'en' AND {_has(_TOKENS, 'with')}", where={"lang": "en", "text": {"$search": "with"}}, select=["doc_id", "lang"])
 _register("search_token_index", f"SELECT doc_id FROM documents WHERE {_has(_TOKENS, 'the', 'wh')}", lambda t: search.lookup(search.token_table(t["documents"], "doc_id", ["text"]), "doc_id", "the wh"))
-_register("search_stop_words", f"SELECT doc_id, CAST(len(list_filter({_TOKENS}, t -> t NOT IN ({', '.join(repr(w) for w in search.STOP_WORDS)}))) AS BIGINT) AS n FROM documents", lambda t: t["documents"].select("doc_id", F.size(search.tokens(F.col("text"), stop_words=True)).cast("bigint").alias("n")))
+_register("search_stop_words", f"SELECT doc_id, CAST(len(list_filter({_TOKENS}, lambda t: t NOT IN ({', '.join(repr(w) for w in search.STOP_WORDS)}))) AS BIGINT) AS n FROM documents", lambda t: t["documents"].select("doc_id", F.size(search.tokens(F.col("text"), stop_words=True)).cast("bigint").alias("n")))
 
 # changes, as the next snapshot
 
