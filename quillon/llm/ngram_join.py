@@ -201,6 +201,29 @@ def candidate_pairs(key_rows: DataFrame) -> DataFrame:
     return key_rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+FILTER_BITS = 23
+
+
+def near_members(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, text) whose ids may be among ids: all that are, and few others. The filter has 2 ** FILTER_BITS
+    bits, whatever the number of ids; with very many ids it lets all rows pass. It only spares the shuffle of other texts."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word"))
+    got = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()  # a fixed number of rows
+    known = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    known[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            at = b.column(2).to_numpy()
+            out = b.filter(pa.array((known[at >> 6] >> (at & 63)) & 1 == 1))
+            yield pa.RecordBatch.from_arrays(out.columns[:2], ["doc_id", "text"])
+
+    return docs.where("doc_id is not null").select("doc_id", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, text string")
+
+
 def forest(sets: list[np.ndarray], left: np.ndarray, percent: int, inner: bool) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets on the left and the others, or (inner) between all."""
     size = np.array(list(map(len, sets)))
@@ -246,7 +269,7 @@ def links(docs: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame
     total = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("items"))
     total = total.select("grp", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int").alias("blocks"))
     dealt = groups.join(total, "grp").select("doc_id", "set_id", "grp", "blocks")
-    rows = docs.join(dealt, "doc_id").select("set_id", "grp", "blocks", "text")
+    rows = near_members(docs, groups).join(dealt, "doc_id").select("set_id", "grp", "blocks", "text")
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
