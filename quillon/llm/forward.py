@@ -46,16 +46,11 @@ class Forward:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         if (new := np.unique(key[self.pairs[at] != key])).size:
             p = self.pieces
-            got = [p._follows(p.pieces[(k >> 20) - 1], p.pieces[k & 0xFFFFF]) if k >> 20 else p.alone(p.pieces[k]) for k in new.tolist()]
-            keep = slice(None) if len(self.pairs) < MOST_PAIRS else slice(0, 1)
-            pairs = np.concatenate([self.pairs[keep], new])
-            if keep.stop:  # emptied: the pairs asked for now are found again below
-                need = np.setdiff1d(np.unique(key), pairs)
-                pairs = np.concatenate([pairs, need])
-                got += [p._follows(p.pieces[(k >> 20) - 1], p.pieces[k & 0xFFFFF]) if k >> 20 else p.alone(p.pieces[k]) for k in need.tolist()]
-            may = np.concatenate([self.may[keep], np.array(got, bool)])
-            order = np.argsort(pairs)
-            self.pairs, self.may = pairs[order], may[order]
+            if len(self.pairs) > MOST_PAIRS:  # begun anew, with all that is asked for now
+                self.pairs, self.may, new = np.array([-1], np.int64), np.array([False]), np.unique(key)
+            may = [p._follows(p.pieces[(k >> 20) - 1], p.pieces[k & 0xFFFFF]) if k >> 20 else p.alone(p.pieces[k]) for k in new.tolist()]
+            place = np.searchsorted(self.pairs, new)
+            self.pairs, self.may = np.insert(self.pairs, place, new), np.insert(self.may, place, may)
             at = np.searchsorted(self.pairs, key)
         return self.may[at]
 

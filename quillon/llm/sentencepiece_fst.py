@@ -89,8 +89,8 @@ def _apply(docs: DataFrame, model: str, text: str, shape: str, columns) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = worker((Transducer, model), lambda: Transducer(Pieces(model)))
         for b in batches:
-            for i in range(0, len(b), 100):
-                part = b.slice(i, 100)
+            for i in range(0, len(b), 500):
+                part = b.slice(i, 500)
                 texts = part.column(len(rest)).to_pylist()
                 ids = fst.encode(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns(ids, [fst.decode(x) for x in ids], texts)], schema.names)

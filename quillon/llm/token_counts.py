@@ -59,7 +59,7 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", into: str = "n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker((Counter, model), lambda: Counter(model))
         for b in batches:
-            n = pa.array([x for i in range(0, len(b), 200) for x in counter.count(b.column(len(rest)).slice(i, 200).to_pylist())], pa.int64())
+            n = pa.array([x for i in range(0, len(b), 500) for x in counter.count(b.column(len(rest)).slice(i, 500).to_pylist())], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], [*rest, into])
 
     return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string")).mapInArrow(count, shape)
