@@ -41,12 +41,16 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are depleted go; from the others, lines above the limits are removed."""
     judged, removed = quality_rules.judge(docs)
-    kept = _keyed(_without(docs, judged.where("not kept").select("doc_id", "text_key")))
-    lines = removed.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("_lines")).toDF("_id", "_key", "_lines")
+    gone = judged.where("not kept").select("doc_id", "text_key", F.lit(True).alias("_gone"), F.lit(None).cast("int").alias("line"))
+    lines = removed.select("doc_id", "text_key", F.lit(False).alias("_gone"), "line")
+    # one join for both: a row for each document that is changed
+    changes = gone.unionByName(lines).groupBy("doc_id", "text_key").agg(F.max("_gone").alias("_gone"), F.collect_set("line").alias("_lines")).toDF("_id", "_key", "_gone", "_lines")
+    keyed = _keyed(docs)
+    out = keyed.join(changes, _same(keyed, changes), "left").where("_gone is null or not _gone")
     text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lines", i)), "\n")
-    out = kept.join(lines, _same(kept, lines), "left").withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(text))
-    changed = F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(F.length("text"))
-    return out.withColumn("n_chars", changed.cast("long")).select(*docs.columns)
+    changed = F.col("_lines").isNotNull()
+    out = out.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
