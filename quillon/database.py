@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from quillon.errors import DuplicateKeyError, ForeignKeyError, HookError, NotFoundError, OperationError, TransactionError, UniqueConstraintError, ValidationError
 from quillon.functions import ids
-from quillon.operators import aggregate, constraints, populate, predicate, projection, updates
+from quillon.operators import aggregate, constraints, predicate, projection, updates
 from quillon.plans import query as plans
 from quillon.plugins import Registry
 from quillon.spec import CollectionSpec, foreign_key
@@ -73,7 +73,6 @@ class Collection:
     def create_many(self, rows: Sequence[Mapping] | DataFrame, skip_duplicates: bool = False, validate_relationships: bool = True) -> Created:
         """All or none; with skip_duplicates, rows that fail are left out with a reason: validation, duplicate id, unique or foreign key."""
         new = self._inputs(rows)
-        reason = F.lit(None).cast("string")
         missing = constraints.issues(new, self.spec)
         stored = self.frame
         new = new.withColumn("_issues", missing).withColumn("_n", F.monotonically_increasing_id())
@@ -99,7 +98,6 @@ class Collection:
             part = df.select("_n", ident, F.lit(i).alias("_rank"), F.lit(why).alias("_why"), F.col("_issues"))
             failed = part if failed is None else failed.unionByName(part)
         failed = failed.groupBy("_n", ident).agg(F.min_by("_why", "_rank").alias("why"), F.first("_issues").alias("issues"))
-        del reason
         if skip_duplicates:
             failed = self.db.keep(failed)
             skipped = [{"id": r[ident], "reason": r.why} for r in failed.select(ident, "why").collect()]
@@ -174,7 +172,7 @@ class Collection:
     def upsert_many(self, inputs: Sequence[Mapping]) -> list[tuple[Row, str]]:
         """(row, "created" | "updated" | "unchanged") of each input {where, create, update}, in one version."""
         self._changeable("upsert")
-        ident, out, fresh = self.spec.id_field, [], []
+        ident, fresh = self.spec.id_field, []
         keys = [(ident,), *constraints.normalize(self.spec.unique)]
         results: dict[int, tuple] = {}
         with self.db.transaction() as tx:
@@ -192,15 +190,12 @@ class Collection:
                 else:
                     results[i] = own.update(found[ident], x["update"]), "updated"
             if fresh:
-                made = own.create_many([{ident: self._new_id(), **r} for _, r in fresh]).created
-                by_id = {r[ident]: r for r in made.collect()}
-                del by_id
-                rows = made.collect()
-                for i, r in fresh:
-                    match = next(m for m in rows if all(k not in r or m[k] == r[k] for k in (ident, *[c for u in keys for c in u]) if k in r))
-                    results[i] = match, "created"
-        out = [results[i] for i in range(len(inputs))]
-        return out
+                # an id for each first, so that the rows can be told apart afterwards
+                given = [(i, {ident: self._new_id(), **r}) for i, r in fresh]
+                made = {r[ident]: r for r in own.create_many([r for _, r in given]).created.collect()}
+                for i, r in given:
+                    results[i] = made[r[ident]], "created"
+        return [results[i] for i in range(len(inputs))]
 
     # relationship writes
 
@@ -504,6 +499,3 @@ class Transaction(Database):
         self.frames[name] = self.keep(df)
         self.touched[name] = None
         self.operations.setdefault(name, set()).add(operation)
-
-
-__all__ = ["Database", "Collection", "Created", "Changed", "populate"]

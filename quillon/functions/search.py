@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space and word characters of the tokenizer.
-SPACES = "\t\n\x0b\f\r    -     　﻿"
+SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WORD = "A-Za-z0-9_"
 #: Words of little meaning, for ``tokens(stop_words=True)``.
 STOP_WORDS = (
@@ -39,12 +40,17 @@ def _equals(q: str):
     return lambda t: t == q
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), with the value computed once a row."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def matches(text: Column, query: str) -> Column:
     """All tokens of the query are tokens of the text, or begin some. A blank query, or a null text, matches."""
-    found = F.lit(True)
-    for q in tokenize(query):
-        found = found & F.exists(tokens(text), _begins(q))
-    return F.coalesce(found, F.lit(True))
+    wanted = tokenize(query)
+    if not wanted:
+        return F.lit(True)
+    return F.coalesce(_once(tokens(text), lambda t: reduce(Column.__and__, [F.exists(t, _begins(q)) for q in wanted])), F.lit(True))
 
 
 def matches_any(texts: list[Column], query: str) -> Column:
@@ -52,13 +58,10 @@ def matches_any(texts: list[Column], query: str) -> Column:
     wanted = tokenize(query)
     if not wanted:
         return F.lit(True)
-    found = F.lit(bool(texts))
-    for q in wanted if texts else []:
-        one = F.lit(False)
-        for text in texts:
-            one = one | F.coalesce(F.exists(tokens(text), _begins(q)), F.lit(False))
-        found = found & one
-    return found
+    if not texts:
+        return F.lit(False)
+    every = F.flatten(F.array(*[F.coalesce(tokens(t), F.array().cast("array<string>")) for t in texts]))
+    return _once(every, lambda t: reduce(Column.__and__, [F.exists(t, _begins(q)) for q in wanted]))
 
 
 def score(text: Column, query: str) -> Column:
@@ -78,7 +81,7 @@ def score(text: Column, query: str) -> Column:
             frequency = frequency + exact + (prefix - exact) * 0.5
         return F.when((length > 0) & (hits > 0), hits / float(len(wanted)) * (1.0 + frequency / length) / F.log1p(length)).otherwise(0.0)
 
-    return F.coalesce(F.get(F.transform(F.array(tokens(text)), of), F.lit(0)), F.lit(0.0))
+    return F.coalesce(_once(tokens(text), of), F.lit(0.0))
 
 
 def token_table(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:

@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillon.database import Database
 from quillon.functions import search
-from quillon.operators import aggregate, constraints, order, populate, predicate, projection, updates
+from quillon.migrate import Migration
+from quillon.migrate import run as migrate
+from quillon.operators import aggregate, constraints, order, populate, predicate, updates
 from quillon.plans import query as plans
+from quillon.sources import files
+from quillon.sources.codecs import prose_codec
 from quillon.spec import CollectionSpec, Relationship
+from quillon.store import work_dir
+from quillon.streaming.watch import watch
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 IDS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id"}
@@ -277,6 +284,57 @@ _register("fk_violations", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_p
 _register("restrict_check", "SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND c_custkey IN (SELECT o_custkey FROM orders)", lambda t: constraints.restrict_violations(t["customer"].where("c_acctbal < 0"), t["orders"], "o_custkey", "c_custkey").select("c_custkey"))
 
 
+# sources, migrations and live queries; through files and versions in the shared folder
+
+
+def _through(table: str, ext: str, key: str, prepare: Callable | None = None) -> Callable:
+    def build(t: Tables) -> DataFrame:
+        df = prepare(t[table]) if prepare else t[table]
+        path = f"{work_dir(t.spark, 'files')}/{table}.{ext}"
+        files.save(df, path, CollectionSpec(df.schema, id_field=key))
+        return files.load(t.spark, path, df.schema)
+
+    return build
+
+
+_register("jsonl_roundtrip", "SELECT * FROM customer", _through("customer", "jsonl", "c_custkey"))
+_register("json_map_roundtrip", "SELECT * FROM nation", _through("nation", "json", "n_nationkey"))
+_register("yaml_roundtrip", "SELECT * FROM region", _through("region", "yaml", "r_regionkey"))
+_register("toml_null_strip", "SELECT n_nationkey, NULLIF(n_name, 'CHINA') AS n_name FROM nation", _through("nation", "toml", "n_nationkey", lambda df: df.select("n_nationkey", F.when(F.col("n_name") != "CHINA", F.col("n_name")).alias("n_name"))))
+
+
+def _prose(t: Tables) -> DataFrame:
+    codec = prose_codec('{n_nationkey}: "{n_name}" in region {n_regionkey}.')
+    rows = codec.decode(codec.encode([r.asDict() for r in t["nation"].collect()]))  # a small table, as a text
+    return t.spark.createDataFrame([(r["n_nationkey"], r["n_name"], r["n_regionkey"]) for r in rows], t["nation"].schema)
+
+
+_register("prose_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation", _prose)
+_CHAIN = (
+    Migration(0, 1, lambda df: df.withColumn("rich", F.col("c_acctbal") > 5000)),
+    Migration(1, 2, lambda df: df.withColumn("c_name", F.lower("c_name")).drop("c_mktsegment")),
+)
+_register("migrate_chain", "SELECT c_custkey, lower(c_name) AS c_name, c_nationkey, c_acctbal, c_acctbal > 5000 AS rich FROM customer", lambda t: migrate(t["customer"], _CHAIN, 0, 2))
+
+
+def _watched(changed: bool) -> Callable:
+    def build(t: Tables) -> DataFrame:
+        spec = CollectionSpec(t["nation"].schema, id_field="n_nationkey")
+        db, seen = Database(t.spark, {"nation": spec}, {"nation": t["nation"]}), []
+        query = watch(db["nation"], seen.append, where={"n_regionkey": 1}, select=["n_nationkey", "n_name"])
+        if changed:
+            db["nation"].update_many({"n_nationkey": 1}, {"n_name": {"$append": "!"}})
+            query.processAllAvailable()
+        query.stop()
+        return t.spark.createDataFrame(seen[-1], t["nation"].select("n_nationkey", "n_name").schema)
+
+    return build
+
+
+_register("watch_initial", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1", _watched(False))
+_register("watch_after_change", "SELECT n_nationkey, CASE WHEN n_nationkey = 1 THEN n_name || '!' ELSE n_name END AS n_name FROM nation WHERE n_regionkey = 1", _watched(True))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large open orders with their customers, the dearest first."""
     t = Tables(spark, sf_dir)
@@ -293,6 +351,3 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
-
-
-__all__ = ["flagship", "queries", "oracle_sql", "projection"]

@@ -1,4 +1,4 @@
-import re
+import math
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -168,8 +168,6 @@ def test_tokens_and_scores(spark):
     rows = df.select("id", search.tokens(F.col("s")).alias("t"), search.score(F.col("s"), "left hand dune").alias("p")).orderBy("id").collect()
     assert [r.t for r in rows] == [None if t is None else search.tokenize(t) for t in texts]
     assert rows[1].t == ["ber", "die", "schön", "x"]
-    import math
-
     assert rows[4].p == pytest.approx(2 / 3 * (1 + 2 / 5) / math.log(6)) and rows[5].p == pytest.approx(1 / 3 * (1 + 1.5 / 2) / math.log(3)) and rows[3].p == 0
     table = search.token_table(df, "id", ["s"])
-    assert ids(search.lookup(table, "id", "d o")) == ["4"] and re.match("", "") is not None
+    assert ids(search.lookup(table, "id", "d o")) == ["4"]
