@@ -14,6 +14,7 @@ from quillon.llm import decontamination, ngram_join, quality_classifier, quality
 from quillon.llm.kernels import shared_dir
 
 KEY = "_text_key"
+WORDS, PERCENT = 5, 80  # of near copies; those of op5 (3, 90) are its own
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -54,8 +55,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; documents without words stay."""
-    groups = ngram_join.join(docs.select("doc_id", "text"))
+    """Of each group of documents linked by WORDS-word shingles, PERCENT / 100 alike or more, the one with the smallest id stays; documents without words stay."""
+    groups = ngram_join.join(docs.select("doc_id", "text"), n=WORDS, percent=PERCENT)
     copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
 

@@ -74,6 +74,20 @@ def test_ngram_join_keys_of_linked_sets_meet():
                 assert np.intersect1d(ngram_join.keys_of(a, 90), ngram_join.keys_of(b, 90)).size
 
 
+def test_ngram_join_stage_drops_copies_by_five_words_at_80_percent(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    docs = ["one", "ONE", "a b c d", "a b c d"]
+    for n in (30, 100, 300):
+        base = text(rng, n)
+        docs += [base, *(near(rng, base, e) for e in (1, 1, 2, 3, 5, 8)), *(f"{base} {text(rng, n * share // 100)}" for share in (5, 12, 20, 30))]
+    rows = [(i * 3, t) for i, t in enumerate(docs)]
+    want, strict = ({i for i, (_, c) in brute.linked(rows, *setting).items() if i == c} for setting in ((5, 80), (3, 90)))
+    got = corpus_pipeline.ngram_join_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == want and want < strict
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
