@@ -8,9 +8,11 @@ documents with the line are counted, in two ways:
 
 1. ``df``: documents with the line. Lines with ``df`` above the limit are candidates. The limit is the larger of
    ``MIN_DOCS`` and ``MAX_SHARE`` of the host's documents.
-2. ``apart``: documents with the line in which candidates hold at most half of the words. Only a candidate with as many
-   of these as the limit is removed: a line that recurs beside texts that differ. Lines that recur only since whole
-   documents have copies or near copies aren't; to choose one of those is the task of deduplication.
+2. ``apart``: distinct rests of the documents with the line, a rest being all lines that aren't candidates. Only a
+   candidate with as many of these as the limit is removed: a line that recurs beside texts that differ, however much of
+   them it holds. Lines that recur only since whole documents have copies aren't; to choose one of those is the task of
+   deduplication. Documents with the same candidates and at most one word beside ``COPY`` of these are near copies whatever
+   that rest is (by words 0.8 alike or more), so they count as one.
 
 A document is depleted, and rejected, if removed lines hold more than ``MAX_REMOVED`` of its words and fewer than
 ``MIN_WORDS`` words are left. All counts cover all documents.
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from quillon.llm import kernels as K
 
 MIN_WORDS, MIN_DOCS, MAX_SHARE, MAX_REMOVED = 50, 20, 0.02, 0.5
+COPY = 8  # h words the same beside r others on either side: h / (h + 2 r) >= 0.8
+LOW_BITS = (1 << 32) - 1  # sums of as many bits can't overflow in a text
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 FEED = np.zeros(256, bool)
@@ -104,7 +108,7 @@ def base_figures(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def figures(docs: DataFrame, host: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_key, host and the base columns of each document; the same ids and host with line, hash and words of each line)."""
+    """(doc_id, text_key, host and the base columns of each document; the same ids and host with n_words, content (sum of the lines' hashes), line, hash and words of each line)."""
     K.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.xxhash64(F.col(host).cast("string")).alias("host"), F.col("text").cast("string"))
 
@@ -114,12 +118,13 @@ def figures(docs: DataFrame, host: str = "source") -> tuple[DataFrame, DataFrame
             failed = (x["n_words"] < MIN_WORDS) | (100 * x["n_repeat_words"] > 50 * x["n_words"])
             at = np.searchsorted(x["row"], np.arange(len(b) + 1))
             lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x[c].astype(t))) for c, t in (("line", np.int32), ("hash", np.int64), ("words", np.int32))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(x[c]) for c in BASE_COLUMNS[:-1]], pa.array(failed), *lists], ["doc_id", "text_key", "host", *BASE_COLUMNS, "line", "hash", "words"])
+            content = np.diff(np.append(0, np.cumsum(x["hash"] & LOW_BITS))[at])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(x[c]) for c in BASE_COLUMNS[:-1]], pa.array(failed), pa.array(content), *lists], ["doc_id", "text_key", "host", *BASE_COLUMNS, "content", "line", "hash", "words"])
 
-    shape = "doc_id long, text_key long, host long, " + ", ".join(f"{c} long" for c in BASE_COLUMNS[:-1]) + ", base_failed boolean, line array<int>, hash array<long>, words array<int>"
+    shape = "doc_id long, text_key long, host long, " + ", ".join(f"{c} long" for c in BASE_COLUMNS[:-1]) + ", base_failed boolean, content long, line array<int>, hash array<long>, words array<int>"
     both = K.written(rows.mapInArrow(base, shape), "lines")
-    lines = both.select("doc_id", "text_key", "host", F.explode(F.arrays_zip("line", "hash", "words")).alias("x")).select("doc_id", "text_key", "host", "x.*")
-    return both.drop("line", "hash", "words"), lines
+    lines = both.select("doc_id", "text_key", "host", "n_words", "content", F.explode(F.arrays_zip("line", "hash", "words")).alias("x")).select("doc_id", "text_key", "host", "n_words", "content", "x.*")
+    return both.drop("content", "line", "hash", "words"), lines
 
 
 def removed_lines(base: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -130,9 +135,12 @@ def removed_lines(base: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, m
     df = once.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("df"))
     candidates = K.written(df.where(F.col("df") >= min_docs).join(limits, "host").where("df > limit").select("host", "hash", "limit"), "candidates")
     marked = K.written(lines.join(candidates, ["host", "hash"]), "marked")
-    held = marked.groupBy(*ids).agg(F.sum("words").alias("held"))
-    few = held.join(base.select(*ids, "n_words").distinct(), ids).where("2 * held <= n_words").select(*ids)
-    apart = marked.select("host", "hash", "limit", *ids).distinct().join(few, ids).groupBy("host", "hash", "limit").agg(F.count(F.lit(1)).alias("apart"))
+    by_doc = marked.distinct().groupBy("host", "limit", *ids, "n_words", "content")
+    by_doc = by_doc.agg(F.sum("words").alias("held"), F.sum(F.col("hash").bitwiseAND(LOW_BITS)).alias("taken"), F.collect_set("hash").alias("hash"))
+    rest = F.col("n_words") - F.col("held")
+    copied = F.col("held") >= COPY * rest
+    other = F.struct(copied.alias("copied"), F.when(copied, F.col("taken")).otherwise(F.col("content") - F.col("taken")).alias("text"))
+    apart = by_doc.select("host", "limit", F.explode("hash").alias("hash"), other.alias("other")).distinct().groupBy("host", "hash", "limit").agg(F.count(F.lit(1)).alias("apart"))
     bad = apart.where(F.col("apart") >= F.col("limit")).select("host", "hash")
     return marked.join(bad, ["host", "hash"]).select(*ids, "line", "words")
 

@@ -116,6 +116,18 @@ def test_frequent_lines_are_removed_but_copies_are_kept(spark):
     assert {(r.doc_id, r.line) for r in removed.collect()} == {(i, 1) for i in range(60)} | {(i, 0) for i in range(60, 65)}
 
 
+def test_frequent_lines_that_hold_most_of_their_documents_are_removed(spark):
+    rng = random.Random(13)
+    word = lambda n: " ".join(f"t{rng.randrange(10**6)}" for _ in range(n))
+    notice = word(60)
+    rows = [(i, f"{notice}\n{word(40)}", "a") for i in range(200)]
+    copied = "\n".join([word(60), word(40)])
+    rows += [(1000 + i, copied, "b") for i in range(100)]  # exact copies have one rest
+    judged, removed = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r.doc_id: (r.kept, r.n_removed_words) for r in judged.collect()} == {**dict.fromkeys(range(200), (False, 60)), **dict.fromkeys(range(1000, 1100), (True, 0))}
+    assert {(r.doc_id, r.line) for r in removed.collect()} == {(i, 0) for i in range(200)}
+
+
 def test_language_identification(spark):
     rng = random.Random(7)
     langs = {"en": "the and with house river green".split(), "de": "der und mit haus fluß grün".split(), "es": "el y con casa río verde".split()}
