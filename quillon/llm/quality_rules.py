@@ -6,8 +6,8 @@ are found twice or more in the text.
 Line frequency. A line is normalised to its words, with A-Z lower-cased, and hashed. For each host, the distinct
 documents with the line are counted, in two ways:
 
-1. ``df``: documents with the line. Lines with ``df`` above the limit are candidates. The limit is the larger of
-   ``MIN_DOCS`` and ``MAX_SHARE`` of the host's documents.
+1. ``df``: documents with the line. Lines with ``df`` above the limit, ``MIN_DOCS``, are candidates. It doesn't grow with
+   the host, so a line that many documents share is found in a host of any size.
 2. ``apart``: distinct rests of the documents with the line, a rest being all lines that aren't candidates. Only a
    candidate with as many of these as the limit is removed: a line that recurs beside texts that differ, however much of
    them it holds. Lines that recur only since whole documents have copies aren't; to choose one of those is the task of
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import kernels as K
 
-MIN_WORDS, MIN_DOCS, MAX_SHARE, MAX_REMOVED = 50, 20, 0.02, 0.5
+MIN_WORDS, MIN_DOCS, MAX_REMOVED = 50, 20, 0.5
 COPY = 8  # h words the same beside r others on either side: h / (h + 2 r) >= 0.8
 LOW_BITS = (1 << 32) - 1  # sums of as many bits can't overflow in a text
 SYMBOLS = np.zeros(256, bool)
@@ -127,28 +127,27 @@ def figures(docs: DataFrame, host: str = "source") -> tuple[DataFrame, DataFrame
     return both.drop("content", "line", "hash", "words"), lines
 
 
-def removed_lines(base: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def removed_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, text_key, line and words of the lines to remove."""
     ids = ["doc_id", "text_key"]
-    limits = base.select("host", *ids).distinct().groupBy("host").agg(F.greatest(F.lit(min_docs), F.ceil(F.count(F.lit(1)) * max_share)).alias("limit"))
-    once = lines.groupBy("host", "hash", *ids).agg(F.sum("words").alias("words"))
+    once = lines.select("host", "hash", *ids).distinct()
     df = once.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("df"))
-    candidates = K.written(df.where(F.col("df") >= min_docs).join(limits, "host").where("df > limit").select("host", "hash", "limit"), "candidates")
+    candidates = K.written(df.where(F.col("df") > min_docs).select("host", "hash"), "candidates")
     marked = K.written(lines.join(candidates, ["host", "hash"]), "marked")
-    by_doc = marked.distinct().groupBy("host", "limit", *ids, "n_words", "content")
+    by_doc = marked.distinct().groupBy("host", *ids, "n_words", "content")
     by_doc = by_doc.agg(F.sum("words").alias("held"), F.sum(F.col("hash").bitwiseAND(LOW_BITS)).alias("taken"), F.collect_set("hash").alias("hash"))
     rest = F.col("n_words") - F.col("held")
     copied = F.col("held") >= COPY * rest
     other = F.struct(copied.alias("copied"), F.when(copied, F.col("taken")).otherwise(F.col("content") - F.col("taken")).alias("text"))
-    apart = by_doc.select("host", "limit", F.explode("hash").alias("hash"), other.alias("other")).distinct().groupBy("host", "hash", "limit").agg(F.count(F.lit(1)).alias("apart"))
-    bad = apart.where(F.col("apart") >= F.col("limit")).select("host", "hash")
+    apart = by_doc.select("host", F.explode("hash").alias("hash"), other.alias("other")).distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("apart"))
+    bad = apart.where(F.col("apart") >= min_docs).select("host", "hash")
     return marked.join(bad, ["host", "hash"]).select(*ids, "line", "words")
 
 
 def judge(docs: DataFrame, host: str = "source") -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, base columns, n_removed_words and kept of each row; doc_id, text_key, line, words of the lines to remove)."""
     base, lines = figures(docs, host)
-    removed = K.written(removed_lines(base, lines), "removed")
+    removed = K.written(removed_lines(lines), "removed")
     gone = removed.groupBy("doc_id", "text_key", "line").agg(F.max("words").alias("words")).groupBy("doc_id", "text_key").agg(F.sum("words").alias("n_removed_words"))
     same = base["doc_id"].eqNullSafe(gone["doc_id"]) & (base["text_key"] == gone["text_key"])
     out = base.join(gone, same, "left").select(base["doc_id"], base["text_key"], *BASE_COLUMNS, F.coalesce("n_removed_words", F.lit(0)).alias("n_removed_words"))

@@ -128,6 +128,15 @@ def test_frequent_lines_that_hold_most_of_their_documents_are_removed(spark):
     assert {(r.doc_id, r.line) for r in removed.collect()} == {(i, 0) for i in range(200)}
 
 
+def test_the_limit_of_frequent_lines_does_not_grow_with_the_host(spark):
+    rng = random.Random(14)
+    word = lambda n: " ".join(f"t{rng.randrange(10**6)}" for _ in range(n))
+    notice, rare = word(20), word(20)
+    rows = [(i, f"{word(60)}\n{notice if i < 30 else rare if i < 45 else word(1)}", "a") for i in range(2000)]
+    judged, removed = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {(r.doc_id, r.line) for r in removed.collect()} == {(i, 1) for i in range(30)} and judged.where("not kept").count() == 0
+
+
 def test_language_identification(spark):
     rng = random.Random(7)
     langs = {"en": "the and with house river green".split(), "de": "der und mit haus fluß grün".split(), "es": "el y con casa río verde".split()}
