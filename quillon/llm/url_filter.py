@@ -11,7 +11,8 @@ rule's; the longest rule (host and path together) wins. What no rule fits is jud
 * a host is blocked if its distrust is above ``threshold`` and above its trust.
 
 Each round is one join of the ranks with the edges by host and one sum by host; map-side sums hold up hosts that many
-link to. Lineage is cut every third round by writing to the shared folder. Without edges between hosts, the ranks are
+link to. Lineage is cut every third round by writing to the shared folder. The query iterates until the largest change of
+a rank in a round is below ``TOLERANCE``; if that isn't so after ``MOST_ROUNDS``, it fails. Without edges between hosts, the ranks are
 those of the seeds and no round is run.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and no part in the graph; its
@@ -29,6 +30,7 @@ from quillon.llm.kernels import written
 #: (host, path, verdict)
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 MOST_IN_PLAN = 200
+TOLERANCE, MOST_ROUNDS = 1e-9, 1000
 LOW = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -71,22 +73,31 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return out.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
-    """host, rank: the seeds' weights plus what flows in, damped. edges: src, dst, n; seeds: host, weight."""
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = 12) -> DataFrame:
+    """host, rank: the seeds' weights plus what flows in, damped, after so many rounds (None: converged). edges: src, dst, n; seeds: host, weight."""
     out_n = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = written(edges.join(out_n, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "edges")
     start = seeds.select("host", F.col("weight").alias("rank"))
     rank = start
-    for i in range(rounds):
+    for i in range(MOST_ROUNDS if rounds is None else rounds):
         flow = rank.join(share, rank["host"] == share["src"]).select(F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
-        rank = start.unionByName(flow).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % 3 == 2:
-            rank = written(rank, "rank")
+        new = start.unionByName(flow)
+        if i % 3 != 2:
+            rank = new.groupBy("host").agg(F.sum("rank").alias("rank"))
+            continue
+        new = new.withColumn("before", F.lit(0.0)).unionByName(rank.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("before")))
+        new = written(new.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")), "rank")
+        rank = new.select("host", "rank")
+        if rounds is None and (new.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) < TOLERANCE:
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks still change by {TOLERANCE} or more after {MOST_ROUNDS} rounds")
     return rank
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = 0.85, rounds: int = 12, threshold: float = 0.1) -> DataFrame:
-    """pages (url, html and others) with host, path, rule, trust, distrust and verdict."""
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = 0.85, rounds: int | None = 12, threshold: float = 0.1) -> DataFrame:
+    """pages (url, html and others) with host, path, rule, trust, distrust and verdict; rounds as in personalised_pagerank."""
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "trust", "distrust", "verdict")]
     p = ruled(pages.select(*own).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}), rules)
     votes = p.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rule_verdict") == "allow").alias("allow"), F.count_if(F.col("rule_verdict") == "block").alias("block"))
@@ -107,4 +118,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float =
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    return judge(pages, RULES, rounds=None).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")

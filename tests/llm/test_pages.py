@@ -84,3 +84,25 @@ def test_distrust_flows_against_links_and_trust_along_them(spark):
             assert r.trust == pytest.approx(trust.get(r.host, 0.0)) and r.distrust == pytest.approx(distrust.get(r.host, 0.0))
     assert {i: r.verdict for i, r in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), url_filter.RULES).count() == 0
+
+
+def test_the_query_propagates_until_ranks_converge(spark, tmp_path):
+    import numpy as np
+
+    rows = [(0, "http://bad.net/es/1", "")] + [(i, f"http://h{i}.org/", f'<a href="http://{f"h{i - 1}.org" if i > 1 else "bad.net"}/">l</a>') for i in range(1, 17)]
+    ring = {"x": ["y"], "y": ["x", "bad2"], "z1": ["y"], "z2": ["y"], "z3": ["y"]}
+    name = lambda h: f"{h}.net" if h == "bad2" else f"{h}.org"
+    rows += [(99, "http://bad2.net/es/", "")] + [(100 + i, f"http://{name(h)}/", "".join(f'<a href="http://{name(t)}/">l</a>' for t in to)) for i, (h, to) in enumerate(ring.items())]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.host: r for r in url_filter.op9_url_filter(spark, str(tmp_path)).collect()}
+    links = {(f"h{i}.org", f"h{i - 1}.org" if i > 1 else "bad.net") for i in range(1, 17)} | {(name(h), name(t)) for h, to in ring.items() for t in to}
+    hosts = sorted(got)
+    flow = np.zeros((len(hosts), len(hosts)))  # of distrust, from a host to those that link to it
+    for a, b in links:
+        flow[hosts.index(a), hosts.index(b)] = 0.85 / sum(b == t for _, t in links)
+    want = np.linalg.solve(np.eye(len(hosts)) - flow, [float(h in ("bad.net", "bad2.net")) for h in hosts])
+    for h, w in zip(hosts, want, strict=True):
+        assert got[h].verdict == ("block" if w > 0.1 else "allow"), h
+        if got[h].distrust:
+            assert got[h].distrust == pytest.approx(w, abs=1e-7)
+    assert any(0.1 < w < 0.125 for w in want)
