@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 U = np.uint64
 _P = 0x9E3779B97F4A7C55 | 1
 _PINV = pow(_P, -1, 1 << 64)

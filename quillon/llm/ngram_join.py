@@ -1,31 +1,33 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
-A document's set holds its distinct ``n``-word shingles, as 64-bit hashes; their order is the global order. Documents with
-equal sets are one class, whose smallest document id stands for it. Two classes link if the sets' Jaccard similarity is
-``percent`` / 100 or more.
-
-1. Candidates. The order is cut into 2 ** j fragments of equal width, with j by the size of the set. Two linked sets differ
-   in at most D elements, which their sizes bound, so at least 2 ** j - D fragments are the same on either side. j is the
-   least that leaves some to spare; sets near the edge of a size class take part in both classes. Each set gives a key
-   for each fragment that isn't empty: a hash of class, fragment and content. Two linked sets share such a key unless all
-   the fragments that they share are empty; a set with so many empty ones (few have) also gives keys for these. So no
-   link is lost. Unlike a single rare n-gram, a fragment of some 5 to 10 n-grams is seldom the same in documents that
-   only share a passage.
-2. Sets with a key in common are joined to the smallest of them: one pair a set and key, never all pairs. The components
-   of these pairs are groups that hold all links.
-3. Partial overlaps. Each group's sets are dealt to blocks of bounded size (``BLOCK_SETS`` sets, ``BLOCK_ITEMS`` n-grams),
-   and each pair of blocks goes to one task. There the order of the n-grams is cut into fragments again, the overlaps
-   within each fragment are counted for all pairs of sets at once (a matrix product), and summed over the fragments to
-   whole overlaps. A task gives out a spanning forest of its links, not the links. Components of all forests are those
-   of all links.
-
-Skew: equal keys in a task are combined before the shuffle: the first set with a key stands for it, and the others are
-paired with that one at once. A group of near copies of any size is split into blocks; its work grows with the square of
-its distinct sets, its rows and shuffles with their number times the number of blocks. Exact copies cost one set.
+A document's set holds its distinct ``n``-word shingles, as 64-bit hashes. Documents with equal sets are one class, whose
+smallest document id stands for it. Two classes link if the sets' Jaccard similarity is ``percent`` / 100 or more; then
+they share at least o(s) n-grams, the least number that a set of s n-grams can share with a linked one.
+
+1. Fragments. All n-grams have a global order, by a second hash. Of a set, the first s - o(s) + l(s) n-grams are dealt to
+   the fragments of the n-grams' range. Two linked sets share the l first of their common n-grams there (the rest of the
+   common ones come after them). Each fragment counts, for each set, how many of its n-grams other sets have too; these
+   partial counts are summed per set. A set with fewer than l(o(s)) can't link: only the others, the members, go on.
+   A buffer of a task gives an n-gram that several of its sets have once, without a set, so however many sets have it,
+   a fragment gets it once from each buffer.
+2. Keys. The members' n-grams are ordered anew, the rarest first, among the first s - o(s) + l'(s) of the old order. Linked
+   sets share an n-gram among the rarest k(s) of these (see ``Lengths``). A passage that many documents have gives no key
+   but to documents that are little else. An n-gram that one member has alone is a place in the order, but no row.
+3. Pairs, the first round: of each key, the set with the smallest name and each of the others.
+4. Partial overlaps. The two sets of a pair are cut into the ``PARTS`` fragments of the n-grams' range, overlaps are counted in
+   each fragment apart, and summed per pair. Sets that verified links connect are one component.
+5. Pairs, the second round: of each key whose sets aren't in one component, all pairs of sets in different ones, but for
+   those that sizes or the parity of 1,024 bits rule out (bits that differ are n-grams that one set lacks). Keys of many
+   sets are dealt to pairs of blocks of ``BLOCK`` sets. What is left is verified as before. So every pair of sets that links is
+   verified, or connected by verified links; none is left to chance.
+
+Skew: exact copies are one set. A group of near copies of any size costs one pair for each of its sets and key, and is one
+component after the first round; keys are joined to the first set by a join that adaptive execution can split. Only sets
+that share a rare n-gram, but aren't connected, are compared with one another, by bits, in blocks.
 
 Defined cases: documents without words, or without text, have an empty set, n_shingles 0 and no links; documents of fewer
 than ``n`` words have one shingle, the whole sequence; rows with one document id and different texts are linked as that id;
-rows without a document id are components of their own (null); extra columns are ignored.
+rows without a document id are components of their own (null); extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,8 +43,11 @@ from quillon.llm import kernels as K
 from quillon.llm.components import components
 
 U = np.uint64
-BLOCK_SETS, BLOCK_ITEMS = 1024, 1_000_000
-CELLS = 4_000_000
+FRAGMENT = 1_000_000  # n-grams of a fragment, about
+BUFFER = 1_000_000  # n-grams of a buffer
+PARTS = 8
+BITS = 1024
+BLOCK = 1024
 
 
 def sets_of(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -59,7 +64,6 @@ def sets_of(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarr
                 has = s.n[few] > k
                 whole[has] = K.mix(whole[has] * U(0x2127599BF4325C37) + h[s.first[few[has]] + k] + U(k + 1))
             out, text = np.concatenate([out, K.mix(whole + U(0x5BD1E995))]), np.concatenate([text, few])
-        if len(few):
             order = np.argsort(text, kind="stable")
             out, text = out[order], text[order]
         bounds = np.searchsorted(text, np.arange(j - i + 1)).tolist()
@@ -71,54 +75,52 @@ def sets_of(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarr
         yield i, out, np.searchsorted(text, np.arange(j - i), "right")
 
 
-def most_apart(size: int, percent: int) -> int:
-    """The most elements in which a set of this size and a linked one that isn't larger can differ."""
-    # u: size of the union; the overlap is at least percent * u / 100, and the sizes sum to u + overlap <= 2 * size
-    return (2 * size * (100 - percent)) // (100 + percent)
-
+class Lengths:
+    """Numbers for sets of a size (int or array). o: the least number of n-grams shared with a linked set.
 
-def spare(apart: int) -> int:
-    return 1 + apart // 64
+    Let x and y link and y be the smaller one. Their common n-grams are o(x) at least, so of the first l of these, in any
+    order of all n-grams, none comes after place |x| - o(x) + l of x, or |y| - o(y) + l of y. y has at least o(x) n-grams. So
+    if l grows with the size, prefixes of s - o(s) + l(s) have l(|y|) n-grams in common, and that is at least l(o(x)) and l(o(y)).
+    Of two such prefixes that share m, in another order, the first of the common ones is among the first |prefix| - m + 1.
+    """
 
+    def __init__(self, percent: int):
+        self.percent = percent
 
-def level(apart: int) -> int:
-    """The least j with 2 ** j > apart + spare(apart)."""
-    return (apart + spare(apart)).bit_length()
+    def o(self, s):
+        return (s * self.percent + 99) // 100
 
+    def first(self, s):
+        """n-grams dealt to the fragments."""
+        return np.minimum(s - self.o(s) + 1 + s // 10, s)
 
-def levels(size: int, percent: int) -> list[tuple[int, int]]:
-    """The classes j that a set takes part in, its own and those of larger sets that it can be linked to; and how many empty
-    fragments it may have there, so that with a linked set it still shares a fragment that isn't empty."""
-    own, most = most_apart(size, percent), most_apart(size * 100 // percent, percent)
-    out = []
-    for j in range(level(max(own, 1)), level(most) + 1 if most else 0):  # sets that may not differ are one class
-        most_here = ((1 << j) - 2) * 64 // 65 + 1
-        while level(most_here) > j:
-            most_here -= 1
-        out.append((j, (1 << j) - min(most, most_here) - 1))
-    return out
+    def shared(self, s):
+        """How many of these a member has in common with others."""
+        return 1 + self.o(s) // 10
 
-
-def keys_of(items: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of a set (sorted hashes)."""
-    out = [np.zeros(0, U)]
-    for j, most_empty in levels(len(items), percent):
-        part = (items >> U(64 - j)).astype(np.int64)
-        first = np.flatnonzero(np.diff(part, prepend=-1))
-        content = np.add.reduceat(K.mix(items + U(0x632BE59BD9B4E019)), first)
-        out.append(K.mix(content + K.mix(part[first].astype(U) + U(j << 56))))
-        if (1 << j) - len(first) > most_empty:
-            empty = np.setdiff1d(np.arange(1 << j), part[first])
-            out.append(K.mix(K.mix(empty.astype(U) + U(j << 56)) ^ U(0xA0761D6478BD642F)))
-    return np.concatenate(out)
+    def head(self, s):
+        """n-grams that the keys are taken from, the rarest |head| - (1 + 2 * o // 5) + 1 of them."""
+        return np.minimum(s - self.o(s) + 1 + 2 * s // 5, s)
 
 
 def names(items: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, from 128 bits of its items and its size."""
+    """A 64-bit name of each set, from 128 bits of its items and its size; never 0."""
     begin = np.append(0, ends[:-1])
     total = [np.append(U(0), np.cumsum(K.mix(items + U(c)))) for c in (0x1234567, 0x7654321)]
     a, b = (t[ends] - t[begin] for t in total)
-    return K.mix(a + K.mix(b + (ends - begin).astype(U))).view(np.int64)
+    out = K.mix(a + K.mix(b + (ends - begin).astype(U))).view(np.int64)
+    out[out == 0] = 1
+    return out
+
+
+def ranks(items: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The place of each item within its set, in the global order by a second hash."""
+    second = K.mix(items ^ U(0xA0761D6478BD642F))
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((second, owner))
+    out = np.empty(len(items), np.int64)
+    out[order] = np.arange(len(items)) - np.repeat(np.cumsum(size) - size, size)
+    return out
 
 
 def sizes(docs: DataFrame, n: int) -> DataFrame:
@@ -132,85 +134,104 @@ def sizes(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long")
 
 
-def keys(docs: DataFrame, n: int, percent: int, held: int = 500_000) -> DataFrame:
-    """key, set_id: a set is named by its signature. A task gives each set once, and of sets that share a key one with
-    that key; the others are paired with it by a key of their own (that set's name), once."""
+def dealt(docs: DataFrame, n: int, lengths: Lengths, fragments: int) -> DataFrame:
+    """frag, grams, sets: the first n-grams of the sets by fragment, 4 bytes (within the fragment) and 8 bytes each. A set 0
+    stands for several. Negative fragments hold, in place of n-grams, how many of a set's a buffer has seen in others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        new_keys: list[np.ndarray] = []
-        new_sets: list[np.ndarray] = []
-        rows = 0
-
-        def combined() -> pa.RecordBatch:
-            k, s = np.concatenate(new_keys), np.concatenate(new_sets)
-            order = np.lexsort((s, k))
-            k, s = k[order], s[order]
-            head = np.append(True, k[1:] != k[:-1])
-            lead = s[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
-            pairs = np.unique(np.column_stack([lead[~head], s[~head]]), axis=0) if not head.all() else np.zeros((0, 2), np.int64)
-            leads = np.unique(pairs[:, 0])
-            name = lambda x: K.mix(x.view(U) ^ U(0xE7037ED1A0B428DB))
-            k = np.concatenate([k[head], name(np.ascontiguousarray(leads)), name(np.ascontiguousarray(pairs[:, 0]))])
-            s = np.concatenate([s[head], leads, pairs[:, 1]])
-            new_keys.clear()
-            new_sets.clear()
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(s)], ["key", "set_id"])
+        new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # names, sizes, items of sets
+        rows = turn = 0
+
+        def given() -> pa.RecordBatch:
+            nonlocal turn
+            name, size, items = (np.concatenate(x) for x in zip(*new, strict=True))
+            new.clear()
+            once = np.zeros(len(name), bool)
+            once[np.unique(name, return_index=True)[1]] = True
+            keep = np.repeat(once, size)
+            items, owner = items[keep], np.repeat(name[once], size[once])
+            order = np.argsort(items)
+            items, owner = items[order], owner[order]
+            head = np.append(True, items[1:] != items[:-1])
+            first = np.flatnonzero(head)
+            count = np.diff(np.append(first, len(items)))
+            several = np.repeat(count > 1, count)
+            mine, seen = np.unique(owner[several], return_counts=True)
+            items, owner = items[first], np.where(count > 1, 0, owner[first])
+            frag = ((items >> U(32)) * U(fragments) >> U(32)).astype(np.int64)
+            begin = np.flatnonzero(np.diff(frag, prepend=-1))
+            cut = [*begin.tolist(), len(items)]
+            low = items.astype(np.uint32)
+            turn += 1
+            frags = [*frag[begin].tolist(), -1 - turn * 7919 % fragments]
+            grams = [*[low[x:y].tobytes() for x, y in zip(cut, cut[1:])], seen.astype(np.uint32).tobytes()]  # noqa: B905
+            sets = [*[owner[x:y].tobytes() for x, y in zip(cut, cut[1:])], mine.tobytes()]  # noqa: B905
+            return pa.RecordBatch.from_arrays([pa.array(frags, pa.int32()), pa.array(grams, pa.binary()), pa.array(sets, pa.binary())], ["frag", "grams", "sets"])
 
         for b in batches:
             for _, items, ends in sets_of(b.column(1), n):
-                name = names(items, ends)
-                begin = 0
-                for k, end in enumerate(ends.tolist()):
-                    if end > begin and (own := int(name[k])) not in seen:
-                        if len(seen) >= held:
-                            seen.clear()
-                        seen.add(own)
-                        got = keys_of(items[begin:end], percent)
-                        new_keys.append(got)
-                        new_sets.append(np.full(len(got), name[k], np.int64))
-                        rows += len(got)
-                    begin = end
-                if rows >= 1_000_000:
-                    yield combined()
+                size = np.diff(ends, prepend=0)
+                own = names(items, ends)
+                keep = ranks(items, size) < np.repeat(lengths.first(size), size)
+                has = np.append(0, np.cumsum(keep))[ends]
+                new.append((own, np.diff(has, prepend=0), items[keep]))
+                rows += int(keep.sum())
+                if rows >= BUFFER:
+                    yield given()
                     rows = 0
         if rows:
-            yield combined()
+            yield given()
 
-    return docs.mapInArrow(run, "key long, set_id long")
+    return docs.mapInArrow(run, "frag int, grams binary, sets binary")
 
 
-def candidate_pairs(key_rows: DataFrame) -> DataFrame:
-    """a, b: each set with the first one that has a key of it."""
+def shared_counts(pieces: DataFrame) -> DataFrame:
+    """set_id, n: partial counts of the n-grams of a set that others have too, by fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = lead = None
-        for batch in batches:
-            k, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(k):
-                continue
-            head = np.append(k[0] != last_key if last_key is not None else True, k[1:] != k[:-1])
-            at = np.maximum.accumulate(np.where(head, np.arange(len(k)), -1))
-            leads = np.where(at >= 0, s[at], lead if lead is not None else 0)
-            last_key, lead = k[-1], leads[-1]
-            ok = leads != s
-            pairs = np.unique(np.column_stack([leads[ok], s[ok]]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
-
-    n = int(key_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return key_rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-
-
-FILTER_BITS = 23
-
-
-def near_members(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id, text) whose ids may be among ids: all that are, and few others. The filter has 2 ** FILTER_BITS
-    bits, whatever the number of ids; with very many ids it lets all rows pass. It only spares the shuffle of other texts."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+        at, grams, sets = None, [], []
+
+        def counted() -> pa.RecordBatch:
+            g, s = (np.frombuffer(b"".join(x), t) for x, t in ((grams, np.uint32), (sets, np.int64)))
+            if at >= 0:
+                order = np.lexsort((s, g))
+                g, s = g[order], s[order]
+                once = np.append(True, (g[1:] != g[:-1]) | (s[1:] != s[:-1]))
+                g, s = g[once], s[once]
+                first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+                count = np.diff(np.append(first, len(g)))
+                several = np.repeat((count > 1) | np.logical_or.reduceat(s == 0, first), count)
+                s, n = np.unique(s[several & (s != 0)], return_counts=True)
+            else:
+                n = g
+            return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n.astype(np.int64))], ["set_id", "n"])
+
+        for b in batches:
+            for f, g, s in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                if f != at and grams:
+                    yield counted()
+                    grams, sets = [], []
+                at = f
+                grams.append(g)
+                sets.append(s)
+        if grams:
+            yield counted()
+
+    return pieces.repartition("frag").sortWithinPartitions("frag").mapInArrow(run, "set_id long, n long")
+
+
+MOST_FILTER_BITS = 27
+
+
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, text) whose ids may be among ids: all that are, and few others. The filter has some 16 bits an id,
+    2 ** MOST_FILTER_BITS (16 MB) at most; with very many ids it lets more rows pass. It only spares the shuffle of other texts."""
+    n = ids.count()
+    bits = min(MOST_FILTER_BITS, max(16, (n * 16).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
     words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word"))
-    got = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()  # a fixed number of rows
-    known = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    got = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    known = np.zeros(1 << bits - 6, np.int64)
     known[got.column(0).to_numpy()] = got.column(1).to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -224,114 +245,163 @@ def near_members(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, text string")
 
 
-def forest(sets: list[np.ndarray], left: np.ndarray, percent: int, inner: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets on the left and the others, or (inner) between all."""
-    size = np.array(list(map(len, sets)))
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), size)
-    kinds, item, n = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = n[item] > 1
-    owner, item = owner[shared], item[shared]
-    place = np.cumsum(n > 1) - 1
-    item = place[item]
-    rows, cols = (np.arange(len(sets)),) * 2 if inner else (np.flatnonzero(left), np.flatnonzero(~left))
-    overlap = np.zeros((len(rows), len(cols)), np.float32)
-    width = max(1, CELLS // max(len(sets), 1))
-    total = int(place[-1]) + 1 if len(place) else 0
-    order = np.argsort(item, kind="stable")
-    owner, item = owner[order], item[order]
-    for begin in range(0, total, width):  # fragments of the order
-        i, j = np.searchsorted(item, [begin, begin + width])
-        matrix = np.zeros((len(sets), min(width, total - begin)), np.float32)
-        matrix[owner[i:j], item[i:j] - begin] = 1
-        overlap += matrix[rows] @ matrix[cols].T
-    both = overlap.astype(np.int64)
-    linked = 100 * both >= percent * (size[rows][:, None] + size[cols][None, :] - both)
-    root = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for x, y in zip(*np.nonzero(linked), strict=True):
-        a, b = int(rows[x]), int(cols[y])
-        if a != b and (p := find(a)) != (q := find(b)):
-            root[max(p, q)] = min(p, q)
-            out.append((a, b))
-    return out
+def parity(items: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A row of BITS bits for each set, as 64-bit words: whether an odd number of its items falls on each bit."""
+    size = np.diff(ends, prepend=0)
+    place = np.repeat(np.arange(len(size)), size) * BITS + (K.mix(items + U(0x9FB21C651E98DF25)) & U(BITS - 1)).astype(np.int64)
+    odd = np.bincount(place, minlength=len(size) * BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).reshape(len(size), BITS // 64)
 
 
-def links(docs: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: links that connect the same sets as all links do. docs: doc_id, text; groups: doc_id (one of each set), set_id, grp and n_shingles."""
-    total = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("items"))
-    total = total.select("grp", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int").alias("blocks"))
-    dealt = groups.join(total, "grp").select("doc_id", "set_id", "grp", "blocks")
-    rows = near_members(docs, groups).join(dealt, "doc_id").select("set_id", "grp", "blocks", "text")
+def members(docs: DataFrame, chosen: DataFrame, n: int, lengths: Lengths) -> DataFrame:
+    """set_id, n, part, head, items: each chosen set (doc_id, set_id) by part of the n-grams' range; the first ``head`` items
+    are those that its keys may come from. Part -1 holds its parity bits."""
+    rows = rows_of(docs, chosen.select("doc_id")).join(chosen.select("doc_id", "set_id"), "doc_id").select("set_id", "text")
 
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, got, ends in sets_of(b.column(3), n):
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(got.view(np.int64)))
-                rows = pa.RecordBatch.from_arrays([*[c.slice(i, len(ends)) for c in b.columns[:3]], lists], ["set_id", "grp", "blocks", "items"])
-                same = pa.array(names(got, ends) == b.column(0).slice(i, len(ends)).to_numpy())  # not another text of that document id
-                yield rows.filter(same)
-
-    own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    sets = rows.mapInArrow(items, "set_id long, grp long, blocks int, items array<long>").withColumn("own", own)
+            for i, items, ends in sets_of(b.column(1), n):
+                size = np.diff(ends, prepend=0)
+                own = names(items, ends)
+                same = own == b.column(0).slice(i, len(ends)).to_numpy()  # not another text of that document id
+                set_at = np.repeat(np.arange(len(size)), size)
+                late = ranks(items, size) >= np.repeat(lengths.head(size), size)
+                part = (items >> U(61)).astype(np.int64)
+                keep = same[set_at]
+                set_at, late, part, items_kept = set_at[keep], late[keep], part[keep], items[keep]
+                order = np.lexsort((late, part, set_at))
+                set_at, late, part, items_kept = set_at[order], late[order], part[order], items_kept[order]
+                first = np.flatnonzero(np.append(True, (set_at[1:] != set_at[:-1]) | (part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+                head = np.add.reduceat((~late).astype(np.int64), first) if len(first) else first
+                bits, mine = parity(items, ends)[same], np.flatnonzero(same)
+                offs = np.concatenate([first, [len(part)], len(part) + (BITS // 64) * np.arange(1, len(mine) + 1)]).astype(np.int32)
+                flat = np.concatenate([items_kept.view(np.int64), bits.ravel()])
+                at = np.concatenate([set_at[first], mine])
+                columns = [own[at], size[at], np.concatenate([part[first], np.full(len(mine), -1)]).astype(np.int32), np.concatenate([head, np.zeros(len(mine), np.int64)]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], ["set_id", "n", "part", "head", "items"])
+
+    return rows.mapInArrow(run, "set_id long, n long, part int, head int, items array<long>")
+
+
+def keys(parts: DataFrame, lengths: Lengths) -> DataFrame:
+    """key, set_id, n: for each set the rarest n-grams of its head, as far as another set has them in its head."""
+    grams = parts.where("head > 0").select("set_id", "n", F.explode(F.slice("items", 1, F.col("head"))).alias("gram"))
+    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    by_set = grams.join(df, "gram").groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    o = f"((n * {lengths.percent} + 99) div 100)"
+    # of |head| - (1 + 2 * o div 5) + 1 places, those that only this set has come first, |head| - size(grams) of them
+    most = F.expr(f"cast(size(grams) - 2 * {o} div 5 as int)")
+    return by_set.where(most > 0).select("set_id", "n", F.explode(F.slice("grams", F.lit(1), most)).alias("x")).select(F.col("x.gram").alias("key"), "set_id", "n")
+
+
+def close(a: str, b: str, percent: int):
+    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+
+
+def star_pairs(key_rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: each key's first set and every other one of a size that can link."""
+    first = key_rows.groupBy("key").agg(F.min(F.struct("set_id", "n")).alias("f"), F.max("set_id").alias("last")).where("f.set_id <> last")
+    pairs = key_rows.join(first.select("key", F.col("f.set_id").alias("a"), F.col("f.n").alias("m")), "key")
+    return pairs.where((F.col("a") != F.col("set_id")) & close("n", "m", percent)).select("a", F.col("set_id").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: overlaps counted by part, and summed."""
+    parts = parts.where("part >= 0")
+    right = parts.select(F.col("set_id").alias("b"), "part", F.col("n").alias("nb"), F.col("items").alias("_b"))
+    left = parts.select(F.col("set_id").alias("a"), "part", F.col("n").alias("na"), F.col("items").alias("_a"))
+    partial = pairs.join(right, "b").join(left, ["a", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("_a", "_b")).alias("both"))
+    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
+    return total.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
+
+
+def cross_pairs(key_rows: DataFrame, comps: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of sets with a key in common, in different components (node, component), that may link by sizes and bits."""
+    own = key_rows.join(comps.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("key", "set_id", "n", F.coalesce("component", "set_id").alias("comp"))
+    open_keys = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
+    rows = own.join(open_keys.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "key")
+    bits = parts.where("part = -1").select("set_id", F.col("items").alias("bits"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).join(bits, "set_id")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    sets = sets.withColumn("pair", F.explode(pair)).select("grp", "pair.i", "pair.j", "own", "set_id", "items")
+    rows = rows.withColumn("pair", F.explode(pair)).select("key", "pair.i", "pair.j", "own", "set_id", "n", "comp", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, parts, own = None, [], [], []
-
-        def done() -> pa.RecordBatch | None:
-            if len(ids) < 2:
-                return None
-            left = np.array(own) == key[1]
-            found = forest(parts, left, percent, key[1] == key[2])
-            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], ["a", "b"]) if found else None
+        at, held = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            own, sets, n, comp, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+            bits = bits.reshape(-1, BITS // 64).view(U)
+            inner = at[1] == at[2]
+            left, right = (np.arange(len(own)),) * 2 if inner else (np.flatnonzero(own == at[1]), np.flatnonzero(own == at[2]))
+            for x in range(0, len(left), 128):
+                p = left[x : x + 128]
+                a, b = n[p][:, None], n[right][None, :]
+                ok = (comp[p][:, None] != comp[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+                if inner:
+                    ok &= p[:, None] < right[None, :]
+                u, v = np.nonzero(ok)
+                u, v = p[u], right[v]
+                for y in range(0, len(u), 100_000):
+                    s, t = u[y : y + 100_000], v[y : y + 100_000]
+                    apart = np.bitwise_count(bits[s] ^ bits[t]).sum(1, dtype=np.int64)
+                    least = -(-percent * (n[s] + n[t]) // (100 + percent))  # the overlap of a link
+                    may = apart <= n[s] + n[t] - 2 * least
+                    s, t = sets[s[may]], sets[t[may]]
+                    if len(s):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t))], ["a", "b"])
 
         for b in batches:
-            offs, flat = b.column(5).offsets.to_numpy(), b.column(5).values.to_numpy().view(U)
-            for r, (g, i, j, o, s) in enumerate(zip(*[b.column(c).to_pylist() for c in range(5)], strict=True)):
-                if (g, i, j) != key:
-                    if (got := done()) is not None:
-                        yield got
-                    key, ids, parts, own = (g, i, j), [], [], []
-                ids.append(s)
-                parts.append(flat[offs[r] : offs[r + 1]].copy())
-                own.append(o)
-        if (got := done()) is not None:
-            yield got
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(run, "a long, b long")
+            key, i, j, own, sets, n, comp = (b.column(c).to_numpy() for c in range(7))
+            bits = b.column(7).flatten().to_numpy().reshape(-1, BITS // 64)
+            cuts = [*np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))).tolist(), len(key)] if len(key) else []
+            for x, y in zip(cuts, cuts[1:]):  # noqa: B905
+                now = key[x], i[x], j[x]
+                if now != at and held:
+                    yield from found()
+                    held = []
+                at = now
+                held.append((own[x:y], sets[x:y], n[x:y], comp[x:y], bits[x:y]))
+        if held:
+            yield from found()
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    K.bounded_batches(spark)
+    K.bounded_batches(docs.sparkSession)
+    lengths = Lengths(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = K.written(sizes(docs, n), "sizes")
-    classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
-    classes = K.written(classes, "classes")
-    pairs = candidate_pairs(keys(docs.where("doc_id is not null"), n, percent))
-    groups = components(pairs).select(F.col("node").alias("set_id"), F.col("component").alias("grp"))
-    members = K.written(classes.join(groups, "set_id").select(F.col("rep").alias("doc_id"), "set_id", "grp", "n_shingles"), "members")
-    linked = links(docs, members, n, percent)
-    # sets are named by documents; a document id with several texts holds their classes together
-    reps = members.select("set_id", "doc_id")
-    by_rep = linked.join(reps.toDF("a", "x"), "a").join(reps.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    own_rep = own.where("n_shingles > 0").join(classes.select("set_id", "rep"), "set_id")
-    several = own_rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    more = own.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("s"), F.max("set_id").alias("t")).where("s <> t").select(F.col("doc_id").alias("a"))
-    final = components(by_rep.unionByName(several.join(more, "a")))
-    out = own.join(classes.select("set_id", "rep"), "set_id", "left").join(final, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    named = own.where("n_shingles > 0 and doc_id is not null")
+    classes = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    # members: sets that may link, by partial counts
+    total = own.agg(F.sum("n_shingles")).first()[0] or 0
+    fragments = max(1, total * (110 - percent) // 100 // FRAGMENT)
+    counts = shared_counts(dealt(docs.where("doc_id is not null"), n, lengths, fragments)).groupBy("set_id").agg(F.sum("n").alias("shared"))
+    may = classes.join(counts, "set_id").where(f"shared >= 1 + ((n * {percent} + 99) div 100) div 10")
+    chosen = K.written(may.select(F.col("rep").alias("doc_id"), "set_id"), "chosen")
+    parts = K.written(members(docs, chosen, n, lengths), "members")
+    if parts.where("part = -1").count() > chosen.count():  # rows with one document id and the same set
+        parts = K.written(parts.dropDuplicates(["set_id", "part"]), "members")
+    key_rows = K.written(keys(parts, lengths), "keys")
+    links = K.written(verified(star_pairs(key_rows, percent), parts, percent), "links")
+    # a document id with several texts holds their sets together
+    several = named.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a <> z")
+    same_id = named.join(several.select("doc_id", "a"), "doc_id").where("a <> set_id").select("a", F.col("set_id").alias("b"))
+    comps = components(links.unionByName(same_id))
+    more = K.written(verified(cross_pairs(key_rows, comps, parts, percent), parts, percent), "more-links")
+    if not more.isEmpty():  # they connect components
+        for c in ("a", "b"):
+            more = more.join(comps.toDF(c, "_to"), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        whole = components(more).toDF("component", "_to")
+        comps = comps.join(whole, "component", "left").select("node", F.coalesce("_to", "component").alias("component")).unionByName(whole.select(F.col("component").alias("node"), F.col("_to").alias("component")))
+        comps = comps.distinct()
+    linked = classes.join(comps, F.col("set_id") == F.col("node"))
+    smallest = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_set = linked.join(smallest, "component").select("set_id", "component_id")
+    out = own.join(classes.select("set_id", "rep"), "set_id", "left").join(of_set, "set_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "rep")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,9 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, most):
 
 
 def test_ngram_join_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 7)  # groups of several blocks
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)  # keys of several blocks
+    monkeypatch.setattr(ngram_join, "BUFFER", 3000)
+    monkeypatch.setattr(ngram_join, "FRAGMENT", 500)
     rng = random.Random(2)
     docs = [None, "", " \n", "one", "ONE", "two words", "two  words", "a b c", "x y z"]
     for n in (12, 20, 30, 60, 150, 400, 2500):
@@ -60,18 +62,36 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch):
     assert ngram_join.join(frame.limit(0)).count() == 0
 
 
-def test_ngram_join_keys_of_linked_sets_meet():
-    rng = np.random.default_rng(3)
-    for size in [10, 11, 13, 19, 28, 29, 40, 100, 333, 1000, 5000]:
-        for _ in range(30):
-            apart = ngram_join.most_apart(size, 90)
-            gone = int(rng.integers(0, apart + 1))
-            a = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
-            b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, apart - gone + 1)), dtype=np.uint64)])
-            a, b = np.unique(a), np.unique(b)
+@pytest.mark.parametrize("percent", [90, 80, 50])
+def test_ngram_join_prefixes_of_linked_sets_meet(percent):
+    rng, lengths = np.random.default_rng(3), ngram_join.Lengths(percent)
+    for size in [1, 2, 3, 5, 9, 10, 11, 19, 28, 40, 100, 333, 1000]:
+        for _ in range(40):
+            gone = int(rng.integers(0, size - lengths.o(size) + 1))
+            a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, size - lengths.o(size) - gone + 1)), dtype=np.uint64)])
             both = len(np.intersect1d(a, b))
-            if len(a) != both and 100 * both >= 90 * (len(a) + len(b) - both):
-                assert np.intersect1d(ngram_join.keys_of(a, 90), ngram_join.keys_of(b, 90)).size
+            if 100 * both < percent * (len(a) + len(b) - both):
+                continue
+            first = [x[ngram_join.ranks(x, np.array([len(x)])) < lengths.first(len(x))] for x in (a, b)]
+            assert len(np.intersect1d(*first)) >= max(lengths.shared(len(a)), lengths.shared(len(b)))
+            heads = [x[ngram_join.ranks(x, np.array([len(x)])) < lengths.head(len(x))] for x in (a, b)]
+            rare = {int(x): int(v) for x, v in zip(np.union1d(a, b), rng.integers(2, 9, len(np.union1d(a, b))))}  # noqa: B905
+            kept = [sorted(h.tolist(), key=lambda x: (rare[x], x))[: len(h) - (1 + 2 * lengths.o(len(x)) // 5) + 1] for h, x in zip(heads, (a, b), strict=True)]
+            assert set(kept[0]) & set(kept[1])
+
+
+def test_ngram_join_of_a_group_of_near_copies_that_are_not_all_linked(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(21)
+    base = " ".join(f"v{rng.randrange(10**6)}" for _ in range(90))
+    docs = [near(rng, base, rng.randrange(6)) for _ in range(120)] + [base] * 30
+    rows = [(i, t) for i, t in enumerate(docs)] + [(7, docs[7]), (7, docs[7].upper()), (8, "another text of eight"), (500, "another text of eight")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.linked(list(enumerate(docs)))
+    eight = min(want[8][1], 500)
+    assert {x for x in got if x[0] not in (8, 500)} == {(i, *x) for i, x in want.items() if i != 8}
+    assert {x for x in got if x[0] in (8, 500)} == {(8, want[8][0], eight), (8, 2, eight), (500, 2, eight)}
 
 
 def test_ngram_join_stage_drops_copies_by_five_words_at_80_percent(spark):
