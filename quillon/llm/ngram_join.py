@@ -13,16 +13,17 @@ they share at least o(s) n-grams, the least number that a set of s n-grams can s
 2. Keys. The members' n-grams are ordered anew, the rarest first, among the first s - o(s) + l'(s) of the old order. Linked
    sets share an n-gram among the rarest k(s) of these (see ``Lengths``). A passage that many documents have gives no key
    but to documents that are little else. An n-gram that one member has alone is a place in the order, but no row.
-3. Pairs, the first round: of each key, the set with the smallest name and each of the others.
+3. Pairs, the first round: of each key, two of its sets and each of the others.
 4. Partial overlaps. The two sets of a pair are cut into the ``PARTS`` fragments of the n-grams' range, overlaps are counted in
    each fragment apart, and summed per pair. Sets that verified links connect are one component.
-5. Pairs, the second round: of each key whose sets aren't in one component, all pairs of sets in different ones, but for
-   those that sizes or the parity of 1,024 bits rule out (bits that differ are n-grams that one set lacks). Keys of many
-   sets are dealt to pairs of blocks of ``BLOCK`` sets. What is left is verified as before. So every pair of sets that links is
-   verified, or connected by verified links; none is left to chance.
-
-Skew: exact copies are one set. A group of near copies of any size costs one pair for each of its sets and key, and is one
-component after the first round; keys are joined to the first set by a join that adaptive execution can split. Only sets
+5. Pairs, the second round: of each key whose sets aren't in one component, pairs of sets in different ones, but for those that
+   sizes or the parity of 1,024 bits rule out (bits that differ are n-grams that one set lacks); of each key as many as would
+   connect what all of them would. Keys of many sets are dealt to pairs of blocks of ``BLOCK`` sets. The pairs are verified as before.
+6. The third round is the same, but takes all such pairs: few sets are left in different components by now, and nearly all
+   that could link are connected. So every pair of sets that links is verified, or connected by verified links.
+
+Skew: exact copies are one set. A group of near copies of any size costs two pairs at most for each of its sets and key, and is one
+component after the first round, or a few; keys are joined to these sets by a join that adaptive execution can split. Only sets
 that share a rare n-gram, but aren't connected, are compared with one another, by bits, in blocks.
 
 Defined cases: documents without words, or without text, have an empty set, n_shingles 0 and no links; documents of fewer
@@ -185,39 +186,55 @@ def dealt(docs: DataFrame, n: int, lengths: Lengths, fragments: int) -> DataFram
     return docs.mapInArrow(run, "frag int, grams binary, sets binary")
 
 
-def shared_counts(pieces: DataFrame) -> DataFrame:
-    """set_id, n: partial counts of the n-grams of a set that others have too, by fragment."""
+def _joined(blobs: list[bytes], kind) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows (key, counts or n-grams, sets) in order of the key, with all rows of a key together."""
+    at, first, second = None, [], []
+    for b in batches:
+        for key, x, y in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+            if key != at and first:
+                yield at, _joined(first, np.uint32), _joined(second, np.int64)
+                first, second = [], []
+            at = key
+            first.append(x)
+            second.append(y)
+    if first:
+        yield at, _joined(first, np.uint32), _joined(second, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, grams, sets = None, [], []
 
-        def counted() -> pa.RecordBatch:
-            g, s = (np.frombuffer(b"".join(x), t) for x, t in ((grams, np.uint32), (sets, np.int64)))
-            if at >= 0:
+def shared_counts(pieces: DataFrame, fragments: int) -> DataFrame:
+    """set_id, shared: how many of the n-grams dealt of a set others have too; counted by fragment, and summed by set."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frag, g, s in _by_key(batches):
+            n = g
+            if frag >= 0:
                 order = np.lexsort((s, g))
                 g, s = g[order], s[order]
                 once = np.append(True, (g[1:] != g[:-1]) | (s[1:] != s[:-1]))
                 g, s = g[once], s[once]
                 first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-                count = np.diff(np.append(first, len(g)))
-                several = np.repeat((count > 1) | np.logical_or.reduceat(s == 0, first), count)
+                size = np.diff(np.append(first, len(g)))
+                several = np.repeat((size > 1) | np.logical_or.reduceat(s == 0, first), size)
                 s, n = np.unique(s[several & (s != 0)], return_counts=True)
-            else:
-                n = g
-            return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n.astype(np.int64))], ["set_id", "n"])
+            part = (K.mix(s.view(U)) % U(fragments)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part, s, n = part[order], s[order], n[order].astype(np.uint32)
+            begin = np.flatnonzero(np.diff(part, prepend=-1))
+            cut = [*begin.tolist(), len(s)]
+            blobs = [[x[i:j].tobytes() for i, j in zip(cut, cut[1:])] for x in (n, s)]  # noqa: B905
+            yield pa.RecordBatch.from_arrays([pa.array(part[begin], pa.int32()), *[pa.array(x, pa.binary()) for x in blobs]], ["part", "n", "sets"])
 
-        for b in batches:
-            for f, g, s in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                if f != at and grams:
-                    yield counted()
-                    grams, sets = [], []
-                at = f
-                grams.append(g)
-                sets.append(s)
-        if grams:
-            yield counted()
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, n, s in _by_key(batches):
+            s, at = np.unique(s, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.bincount(at, n).astype(np.int64))], ["set_id", "shared"])
 
-    return pieces.repartition("frag").sortWithinPartitions("frag").mapInArrow(run, "set_id long, n long")
+    counts = pieces.repartition("frag").sortWithinPartitions("frag").mapInArrow(count, "part int, n binary, sets binary")
+    return counts.repartition("part").sortWithinPartitions("part").mapInArrow(total, "set_id long, shared long")
 
 
 MOST_FILTER_BITS = 27
@@ -286,12 +303,14 @@ def members(docs: DataFrame, chosen: DataFrame, n: int, lengths: Lengths) -> Dat
 def keys(parts: DataFrame, lengths: Lengths) -> DataFrame:
     """key, set_id, n: for each set the rarest n-grams of its head, as far as another set has them in its head."""
     grams = parts.where("head > 0").select("set_id", "n", F.explode(F.slice("items", 1, F.col("head"))).alias("gram"))
-    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    df = K.written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
     by_set = grams.join(df, "gram").groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
     o = f"((n * {lengths.percent} + 99) div 100)"
     # of |head| - (1 + 2 * o div 5) + 1 places, those that only this set has come first, |head| - size(grams) of them
     most = F.expr(f"cast(size(grams) - 2 * {o} div 5 as int)")
-    return by_set.where(most > 0).select("set_id", "n", F.explode(F.slice("grams", F.lit(1), most)).alias("x")).select(F.col("x.gram").alias("key"), "set_id", "n")
+    o_n = f"least(n - {o} + 1 + 2 * n div 5, n)"
+    rare = F.aggregate("grams", F.lit(0.0), lambda s, x: s + 1.0 / x["df"]) + F.expr(f"{o_n} - size(grams)")
+    return by_set.where(most > 0).select("set_id", "n", rare.alias("odd"), F.explode(F.slice("grams", F.lit(1), most)).alias("x")).select(F.col("x.gram").alias("key"), "set_id", "n", "odd")
 
 
 def close(a: str, b: str, percent: int):
@@ -299,10 +318,13 @@ def close(a: str, b: str, percent: int):
 
 
 def star_pairs(key_rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: each key's first set and every other one of a size that can link."""
-    first = key_rows.groupBy("key").agg(F.min(F.struct("set_id", "n")).alias("f"), F.max("set_id").alias("last")).where("f.set_id <> last")
-    pairs = key_rows.join(first.select("key", F.col("f.set_id").alias("a"), F.col("f.n").alias("m")), "key")
-    return pairs.where((F.col("a") != F.col("set_id")) & close("n", "m", percent)).select("a", F.col("set_id").alias("b")).distinct()
+    """a, b: two of each key's sets (the one whose n-grams are the least rare, and one by a hash) and every other one of a size
+    that can link."""
+    one = F.struct("set_id", "n")
+    ends = key_rows.groupBy("key").agg(F.min_by(one, F.struct("odd", "set_id")).alias("x"), F.min_by(one, F.xxhash64("set_id", F.col("key").bitwiseAND(3))).alias("y"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    pairs = key_rows.join(ends, "key").select("set_id", "n", F.explode(F.array_distinct(F.array("x", "y"))).alias("e")).where(F.col("e.set_id") != F.col("set_id"))
+    pairs = pairs.select(F.least("set_id", "e.set_id").alias("a"), F.greatest("set_id", "e.set_id").alias("b"), "n", F.col("e.n").alias("m"))
+    return pairs.where(close("n", "m", percent)).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -315,8 +337,27 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return total.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
 
-def cross_pairs(key_rows: DataFrame, comps: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of sets with a key in common, in different components (node, component), that may link by sizes and bits."""
+def _forest(s: np.ndarray, t: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the pairs (s, t) are enough to connect all that they connect: of each label the first pair that leaves it, over
+    and over, with the labels merged. label: of each set, small numbers."""
+    label, left, out = label.copy(), np.arange(len(s)), []
+    while True:
+        left = left[label[s[left]] != label[t[left]]]
+        if not len(left):
+            return np.unique(np.concatenate(out)) if out else left
+        a, b = label[s[left]], label[t[left]]
+        first = np.unique(np.concatenate([np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1]]))
+        out.append(left[first])
+        root = np.arange(label.max() + 1)
+        root[np.maximum(a[first], b[first])] = np.minimum(a[first], b[first])
+        while (root[root] != root).any():
+            root = root[root]
+        label = root[label]
+
+
+def cross_pairs(key_rows: DataFrame, comps: DataFrame, parts: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """a, b: pairs of sets with a key in common, in different components (node, component), that may link by sizes and bits; all
+    of these, or (forest) of each key as many as connect what all would, the closest by bits first."""
     own = key_rows.join(comps.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("key", "set_id", "n", F.coalesce("component", "set_id").alias("comp"))
     open_keys = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
     rows = own.join(open_keys.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "key")
@@ -333,6 +374,7 @@ def cross_pairs(key_rows: DataFrame, comps: DataFrame, parts: DataFrame, percent
             bits = bits.reshape(-1, BITS // 64).view(U)
             inner = at[1] == at[2]
             left, right = (np.arange(len(own)),) * 2 if inner else (np.flatnonzero(own == at[1]), np.flatnonzero(own == at[2]))
+            pairs = []
             for x in range(0, len(left), 128):
                 p = left[x : x + 128]
                 a, b = n[p][:, None], n[right][None, :]
@@ -346,9 +388,18 @@ def cross_pairs(key_rows: DataFrame, comps: DataFrame, parts: DataFrame, percent
                     apart = np.bitwise_count(bits[s] ^ bits[t]).sum(1, dtype=np.int64)
                     least = -(-percent * (n[s] + n[t]) // (100 + percent))  # the overlap of a link
                     may = apart <= n[s] + n[t] - 2 * least
-                    s, t = sets[s[may]], sets[t[may]]
-                    if len(s):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t))], ["a", "b"])
+                    pairs.append((s[may], t[may], apart[may]))
+            if not pairs:
+                return
+            s, t, apart = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            if forest and len(s):
+                order = np.argsort(apart, kind="stable")
+                s, t = s[order], t[order]
+                some = _forest(s, t, np.unique(comp, return_inverse=True)[1])
+                s, t = s[some], t[some]
+            s, t = sets[s], sets[t]
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t))], ["a", "b"])
 
         for b in batches:
             key, i, j, own, sets, n, comp = (b.column(c).to_numpy() for c in range(7))
@@ -367,6 +418,17 @@ def cross_pairs(key_rows: DataFrame, comps: DataFrame, parts: DataFrame, percent
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component), with those connected that the links (a, b) connect."""
+    if links.isEmpty():
+        return comps
+    for c in ("a", "b"):
+        links = links.join(comps.toDF(c, "_to"), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    whole = components(links).toDF("component", "_to")
+    out = comps.join(whole, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return K.written(out.unionByName(whole.toDF("node", "component")).distinct(), "components")
+
+
 def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each row of docs (doc_id, text)."""
     K.bounded_batches(docs.sparkSession)
@@ -378,7 +440,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     # members: sets that may link, by partial counts
     total = own.agg(F.sum("n_shingles")).first()[0] or 0
     fragments = max(1, total * (110 - percent) // 100 // FRAGMENT)
-    counts = shared_counts(dealt(docs.where("doc_id is not null"), n, lengths, fragments)).groupBy("set_id").agg(F.sum("n").alias("shared"))
+    counts = shared_counts(dealt(docs.where("doc_id is not null"), n, lengths, fragments), fragments)
     may = classes.join(counts, "set_id").where(f"shared >= 1 + ((n * {percent} + 99) div 100) div 10")
     chosen = K.written(may.select(F.col("rep").alias("doc_id"), "set_id"), "chosen")
     parts = K.written(members(docs, chosen, n, lengths), "members")
@@ -390,13 +452,11 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     several = named.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a <> z")
     same_id = named.join(several.select("doc_id", "a"), "doc_id").where("a <> set_id").select("a", F.col("set_id").alias("b"))
     comps = components(links.unionByName(same_id))
-    more = K.written(verified(cross_pairs(key_rows, comps, parts, percent), parts, percent), "more-links")
-    if not more.isEmpty():  # they connect components
-        for c in ("a", "b"):
-            more = more.join(comps.toDF(c, "_to"), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
-        whole = components(more).toDF("component", "_to")
-        comps = comps.join(whole, "component", "left").select("node", F.coalesce("_to", "component").alias("component")).unionByName(whole.select(F.col("component").alias("node"), F.col("_to").alias("component")))
-        comps = comps.distinct()
+    for forest in (True, False):
+        candidates = K.written(cross_pairs(key_rows, comps, parts, percent, forest), "candidates")
+        if candidates.isEmpty():
+            break
+        comps = merged(comps, K.written(verified(candidates, parts, percent), "more-links"))
     linked = classes.join(comps, F.col("set_id") == F.col("node"))
     smallest = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = linked.join(smallest, "component").select("set_id", "component_id")
