@@ -18,6 +18,7 @@ table gives files without rows.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +35,30 @@ from quillon.llm.kernels import Memory, bounded_batches, shared_dir, worker
 
 #: A control character; its id stands for no other text.
 MARK = "\x01"
+CHUNK_BYTES = 1 << 21
+# The normalizer and the splitting pattern of vocabularies whose pieces end at white space and at marks.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def splits_at_spaces(spec: dict) -> bool:
+    """Does a vocabulary (its file's content) drop white space as an end of pieces, and see letters in lower case and apart
+    from marks? Only then runs between spaces can be encoded apart; else whole texts are."""
+    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == NORMALIZER
+        and (first.get("pattern"), first.get("behavior"), first.get("invert")) == ({"Regex": PATTERN}, "Removed", True)
+        and not any(c.isspace() for t in spec.get("added_tokens", ()) for c in t["content"])
+        and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec.get("added_tokens", ()))
+    )
 
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library.
+    """Whole texts to ids by the tokenizers library, with the end id after each text.
 
-    The normalizer and the splitting pattern of the vocabulary treat a space or line feed as an end of any piece and
-    drop it, so a text is encoded by its runs between those; frequent runs are remembered (see ``Memory``).
+    Where the vocabulary treats a space or line feed as an end of any piece and drops it (``splits_at_spaces``), a text is
+    encoded by its runs between those: the distinct runs of a chunk of texts are encoded once, and their ids gathered by
+    index. Runs that were met before are remembered (see ``Memory``).
     """
 
     def __init__(self, path: str, end_id: int):
@@ -47,11 +66,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end_id], "<i4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            self.by_runs = splits_at_spaces(json.load(f))
+        self.end = end_id
 
         def alone(run: str) -> bytes:
             return array("i", tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
 
+        self.alone = alone
+        if not self.by_runs:
+            return
         mark = tokenizer.encode(MARK, add_special_tokens=False).ids
         joined = len(mark) == 1
 
@@ -73,6 +97,7 @@ class Encoder:
             return out
 
         ends = {c: alone(c) for c in ".,"}
+        stems_known = Memory(joint)
 
         def compute(runs: list[str]) -> list[bytes]:
             """A run is encoded as its stem, in which the normalizer sees the same letters, and the mark after a last letter,
@@ -84,17 +109,44 @@ class Encoder:
                 tail = ends.get(stem[-1:]) if last.isalpha() and last.islower() else None
                 stems.append(stem if tail is None else stem[:-1])
                 tails.append(tail)
-            new, old = self.known.new, self.known.old
-            found = {stem: new.get(stem) or old.get(stem) for stem in stems}
-            unknown = [stem for stem, v in found.items() if v is None]
-            found.update(zip(unknown, joint(unknown), strict=True))
-            return [found[stem] if tail is None else found[stem] + tail for stem, tail in zip(stems, tails, strict=True)]
+            return [x if tail is None else x + tail for x, tail in zip(stems_known.values(stems), tails, strict=True)]
 
         self.known = Memory(compute)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        runs = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        return [np.frombuffer(b"".join(x) + self.end, "<i4") for x in self.known.by_text(runs)]
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, row after the last, ids of these texts, their ends in the ids), a chunk of texts at a time."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        at = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy()))
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK_BYTES, "right")) - 1)
+            ids, ends = self._runs(texts.slice(i, j - i)) if self.by_runs else self._whole(texts.slice(i, j - i))
+            yield i, j, ids, ends
+            i = j
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.append(np.frombuffer(self.alone(t), "<i4"), np.int32(self.end)) for t in texts.to_pylist()]
+        return np.concatenate(found).astype(np.int32), np.cumsum([len(x) for x in found])
+
+    def _runs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        offs = parts.offsets.to_numpy()
+        runs = pc.dictionary_encode(parts.values.slice(offs[0], offs[-1] - offs[0]))
+        found = self.known.values(runs.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, begin = np.frombuffer(b"".join(found), "<i4"), np.cumsum(size) - size
+        at = runs.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1])
+        place = np.repeat(begin[at] - (ends - n), n)
+        place += np.arange(total)
+        ends = np.append(0, ends)[offs[1:] - offs[0]] + np.arange(1, len(texts) + 1)
+        out = np.full(int(ends[-1]), self.end, np.int32)
+        inside = np.ones(len(out), bool)
+        inside[ends - 1] = False
+        out[inside] = flat[place]
+        return out, ends
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, shards: int | None = None) -> None:
@@ -106,17 +158,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, first, shard = worker((Encoder, vocabulary, end_id), lambda: Encoder(vocabulary, end_id)), 0, TaskContext.get().partitionId()
         for b in batches:
-            texts = b.column(1)
-            for i in range(0, len(b), 200):
-                ids = encoder.encode(texts.slice(i, 200).to_pylist())
-                n = np.array([len(x) for x in ids], np.int64)
-                ends = np.cumsum(n)
+            for i, j, ids, ends in encoder.encode(b.column(1)):
+                starts = np.append(0, ends[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(ids), shard, np.int64)),
-                        b.column(0).slice(i, 200),
-                        pa.array(first + ends - n),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(ids))),
+                        pa.array(np.full(j - i, shard, np.int64)),
+                        b.column(0).slice(i, j - i),
+                        pa.array(first + starts),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids)),
                     ],
                     ["shard", "doc_id", "first", "ids"],
                 )
