@@ -1,8 +1,11 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
-1. Evidence. Figures of a text's shape (symbols, repeats, capitals, ...) go into a logistic regression, which is fitted
-   on labelled documents: at most ``MOST_LABELLED`` of them, those whose ids hash lowest. Its probability that a document
-   is good is the document's evidence.
+1. Evidence. Figures of a text's shape (symbols, repeats, capitals, ...), and what its words and pairs of words say, go into
+   a logistic regression, which is fitted on labelled documents: at most ``MOST_LABELLED`` of them, those whose ids hash
+   lowest. Words and pairs are hashed to ``BUCKETS`` each; a bucket's weight is the logarithm of how much more often good
+   documents have it than bad ones, and a text's figure is the mean of its buckets' weights. For the fit, each labelled
+   document's weights come from the labelled documents of the other ``FOLDS`` - 1 folds. The probability that a document is
+   good is its evidence.
 2. Sites. Evidence is summed by host and by (host, path), over all documents. The global mean is the prior of a host's
    mean, and a host's posterior mean that of its paths'. How strongly a prior counts (as so many documents) is estimated
    by the method of moments from the variance between hosts, and between the paths of a host, beyond what sampling gives.
@@ -15,7 +18,8 @@ can split; a row has only a few numbers there. Two rows of moments come to the d
 
 Defined cases: a null or empty text has the figures of no words; null hosts and paths are sites of their own; labels that
 disagree on a document count by the smallest; without labels of both kinds every document's evidence is 0.5 and all are
-kept; rows with the same document id are judged each; extra columns pass through.
+kept; rows with the same document id are judged each, and all have its label; equal rows count once in the fit; extra columns
+pass through.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ from pyspark.sql import functions as F
 from quillon.llm import kernels as K
 from quillon.llm.quality_rules import SYMBOLS, base_figures
 
+U = np.uint64
 MOST_LABELLED = 20_000
 KEEP = 0.3
+BUCKETS, FOLDS, SMOOTH = 1 << 15, 5, 2.0
 FIGURES = ["symbols", "repeated", "same_as_last", "capitals", "marks", "digits", "bars", "same_lines", "word_length", "words"]
 _CAPITAL, _DIGIT, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _CAPITAL[65:91] = True
@@ -55,6 +61,35 @@ def figures(texts: pa.Array) -> np.ndarray:
     return np.concatenate(rows) if rows else np.zeros((0, len(FIGURES)))
 
 
+def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of each text, and the text of each: those of words, and (from BUCKETS on) of pairs of words."""
+    out, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, _, data, offs in K.chunks(texts):
+        low = K.LOWER[data]
+        s = K.words(low, offs)
+        h = K.hashes(low, s)
+        two, text, _ = K.shingles(h, s, 2)
+        cut = lambda x: (K.mix(x) & U(BUCKETS - 1)).astype(np.int64)
+        every = np.unique(np.concatenate([s.text * (2 * BUCKETS) + cut(h), text * (2 * BUCKETS) + BUCKETS + cut(two)]))
+        out.append(every % (2 * BUCKETS))
+        rows.append(every // (2 * BUCKETS) + i)
+    return np.concatenate(out), np.concatenate(rows)
+
+
+def leanings(bucket: np.ndarray, row: np.ndarray, n: int, value: np.ndarray) -> np.ndarray:
+    """Of n texts, the means of their buckets' weights (value): of words, and of pairs."""
+    out = np.zeros((n, 2))
+    for k, part in enumerate((bucket < BUCKETS, bucket >= BUCKETS)):
+        out[:, k] = np.bincount(row[part], value[part], n) / np.maximum(np.bincount(row[part], minlength=n), 1)
+    return out
+
+
+def weights_of(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The buckets' weights, from the documents that have each (a row for bad ones, one for good ones), of so many."""
+    share = (counts + SMOOTH) / (docs[:, None] + 2 * SMOOTH)
+    return np.log(share[1] / share[0]).astype(np.float32)
+
+
 def fit(x: np.ndarray, good: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression, by Newton's method on standardised figures."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -76,6 +111,56 @@ def logit(p):
     return F.ln(p / (1 - p))
 
 
+def _fitted(docs: DataFrame, label: DataFrame) -> tuple[np.ndarray, float, np.ndarray] | None:
+    """Weights of the figures, intercept, and weights of the buckets, from docs (doc_id, _text) that have a label (doc_id, _good).
+
+    The driver gets a count for each fold, kind and bucket, and a row of figures for each of MOST_LABELLED documents at most;
+    the names of these are broadcast."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("_text")]
+    some = docs.join(label, "doc_id").select(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("_fold"), F.col("_good").cast("int").alias("_good"), *[x.alias(f"_o{i}") for i, x in enumerate(order)])
+    some = some.distinct().orderBy("_o0", "_o1", "_o2").limit(MOST_LABELLED)
+    chosen = K.written(some.select("_fold", "_good", F.col("_o1").alias("doc_id"), F.col("_o2").alias("_key")), "labelled")
+    texts = docs.withColumn("_key", F.xxhash64("_text")).join(F.broadcast(chosen), ["doc_id", "_key"]).groupBy("doc_id", "_key", "_fold", "_good").agg(F.min("_text").alias("_text"))
+    shape = "_fold int, _good int, _figures array<double>, _buckets array<int>"
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = figures(b.column(2))
+            bucket, row = buckets(b.column(2))
+            ends = np.arange(len(b) + 1, dtype=np.int32) * x.shape[1]
+            at = np.searchsorted(row, np.arange(len(b) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel())), pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))], ["_fold", "_good", "_figures", "_buckets"])
+
+    measured = K.written(texts.select("_fold", "_good", "_text").mapInArrow(measure, shape), "labelled-figures")
+    got = measured.select("_fold", "_good", F.explode("_buckets").alias("b")).groupBy("_fold", "_good", "b").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    fold, good, bucket, n = (got.column(i).to_numpy() for i in range(4))
+    counts = np.zeros((FOLDS, 2, 2 * BUCKETS))
+    counts[fold, np.minimum(good, 1), bucket] = n
+    docs_of = np.zeros((FOLDS, 2))
+    for r in measured.groupBy("_fold", "_good").count().collect():
+        docs_of[r["_fold"], min(r["_good"], 1)] += r["count"]
+    by_fold = np.stack([weights_of(counts.sum(0) - c, docs_of.sum(0) - d) for c, d in zip(counts, docs_of, strict=True)])
+    shared = docs.sparkSession.sparkContext.broadcast(by_fold)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_fold = shared.value
+        for b in batches:
+            lists = b.column(3)
+            offs = lists.offsets.to_numpy()
+            row = np.repeat(np.arange(len(b)), np.diff(offs))
+            bucket = lists.values.to_numpy()[offs[0] : offs[-1]]
+            x = leanings(bucket, row, len(b), by_fold[b.column(0).to_numpy()[row], bucket])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(x[:, 0]), pa.array(x[:, 1])], ["_good", "_figures", "words", "pairs"])
+
+    known = measured.mapInArrow(lean, "_good int, _figures array<double>, words double, pairs double").toArrow()
+    good = known.column(0).to_numpy().astype(float) if len(known) else np.zeros(0)
+    if not 0 < good.sum() < len(good):
+        return None
+    shapes = known.column(1).combine_chunks().flatten().to_numpy().reshape(len(good), len(FIGURES))
+    w, bias = fit(np.column_stack([shapes, known.column(2).to_numpy(), known.column(3).to_numpy()]), good)
+    return w, bias, weights_of(counts.sum(0), docs_of.sum(0))
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
     """docs without the text, with evidence, prior (the path's posterior), posterior and kept. labels: doc_id, quality (0 or 1)."""
     spark = docs.sparkSession
@@ -83,28 +168,25 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     new = ["evidence", "prior", "posterior", "kept"]
     rest = [c for c in docs.columns if c != text and c not in new]
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.xxhash64(F.col(host).cast("string")).alias("_host"), F.xxhash64(F.col(host).cast("string"), F.col(path).cast("string")).alias("_path"), F.col(text).cast("string").alias("_text"))
-    shape = rows.drop("_text").schema
-    for c in FIGURES:
-        shape = shape.add(f"_{c}", "double")
+    label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_good"))
+    model = _fitted(docs.select("doc_id", F.col(text).cast("string").alias("_text")), label)
+    shape = rows.drop("_text").schema.add("evidence", "double")
+    shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for b in batches:
-            x = figures(b.column(len(rest) + 2))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(x[:, k]) for k in range(x.shape[1])]], shape.names)
-
-    measured = K.written(rows.mapInArrow(measure, shape), "figures")
-    label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_good"))
-    chosen = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    known = measured.join(chosen, "doc_id").select(*[f"_{c}" for c in FIGURES], "_good").toArrow()
-    good = known.column(len(FIGURES)).to_numpy().astype(float) if len(known) else np.zeros(0)
-    if 0 < good.sum() < len(good):
-        w, bias = fit(np.column_stack([known.column(k).to_numpy() for k in range(len(FIGURES))]), good)
-    else:
-        w, bias = np.zeros(len(FIGURES)), 0.0
-    z = F.lit(bias)
-    for c, x in zip(FIGURES, w.tolist(), strict=True):
-        z = z + F.lit(x) * F.col(f"_{c}")
-    one = measured.select(*[F.col(f"`{c}`") for c in rest], "_host", "_path", (1 / (1 + F.exp(-z))).alias("evidence"))
+            texts = b.column(len(rest) + 2)
+            if model is None:
+                p = np.full(len(b), 0.5)
+            else:
+                w, bias, weights = model
+                bucket, row = buckets(texts)
+                x = np.column_stack([figures(texts), leanings(bucket, row, len(b), weights[bucket])])
+                p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p)], shape.names)
+
+    one = K.written(rows.mapInArrow(measure, shape), "evidence")
 
     paths = K.written(one.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_n"), F.sum("evidence").alias("_s")), "paths")
     hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_hn"), F.sum("_s").alias("_hs"))
