@@ -13,10 +13,55 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 INFINITY = float("inf")
+SPACES = re.compile(" +")
+
+
+class Normaliser:
+    """The character map of a model, compiled to a transducer: at each place the longest mapped sequence is replaced, and any
+    other character stays.
+
+    The map is a double-array trie over UTF-8 bytes, whose leaves are offsets of texts that end with a zero byte."""
+
+    def __init__(self, charsmap: bytes):
+        size = int.from_bytes(charsmap[:4], "little")
+        units = np.frombuffer(charsmap, "<u4", size // 4, 4).astype(np.int64)
+        texts = charsmap[4 + size :]
+        offset = lambda unit: unit >> 10 << ((unit & 1 << 9) >> 6)
+        bytes_ = np.arange(1, 256)
+        self.map: dict[str, str] = {}
+        todo = [(offset(int(units[0])), b"")]
+        while todo:
+            at, key = todo.pop()
+            near = at ^ bytes_
+            near = np.where(near < len(units), near, 0)
+            for c in bytes_[(units[near] & 0x800000FF) == bytes_].tolist():
+                unit = int(units[at ^ c])
+                below = (at ^ c) ^ offset(unit)
+                if unit >> 8 & 1:
+                    begin = int(units[below]) & 0x7FFFFFFF
+                    self.map[(key + bytes([c])).decode()] = texts[begin : texts.index(b"\0", begin)].decode()
+                todo.append((below, key + bytes([c])))
+        self.lengths: dict[str, list[int]] = {}
+        for key in sorted(self.map, key=len, reverse=True):
+            have = self.lengths.setdefault(key[0], [])
+            if len(key) not in have:
+                have.append(len(key))
+        self.first = re.compile("[" + "".join(map(re.escape, sorted(self.lengths))) + "]") if self.map else None
+
+    def apply(self, text: str) -> str:
+        out, at = [], 0
+        while self.first is not None and (m := self.first.search(text, at)):
+            i = m.start()
+            n = next((n for n in self.lengths[text[i]] if text[i : i + n] in self.map), 0)
+            out += [text[at:i], self.map[text[i : i + n]] if n else text[i]]
+            at = i + max(n, 1)
+        return "".join([*out, text[at:]]) if out else text
 
 
 class Pieces:
@@ -32,8 +77,9 @@ class Pieces:
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("the model must be of type unigram or BPE")
         spec = model.normalizer_spec
-        if spec.precompiled_charsmap or not spec.escape_whitespaces:
-            raise ValueError("only the identity normaliser with escaped spaces is compiled")
+        if not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("spaces must be escaped, and begin pieces")
+        self.normaliser = Normaliser(spec.precompiled_charsmap) if spec.precompiled_charsmap else None
         self.dummy_prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
         self.pieces = [p.piece for p in model.pieces]
         self.types = [p.type for p in model.pieces]
@@ -47,12 +93,18 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         #: A character that no piece has costs so much in a unigram model.
         self.unknown_score = min(self.scores[i] for i in self.ids.values()) - 10.0
-        #: Lengths of the pieces, the longest first, by their first two characters.
-        self.from_two: dict[str, list[int]] = {}
-        for piece in sorted(self.ids, key=len, reverse=True):
-            have = self.from_two.setdefault(piece[:2], [])
-            if len(piece) not in have:
-                have.append(len(piece))
+        #: The pieces as an acceptor: arcs by state and character, and of each state the id of the piece that ends there, or -1.
+        self.arcs: dict[int, int] = {}
+        self.final = [-1]
+        for piece, i in self.ids.items():
+            state = 0
+            for c in piece:
+                key = state << 21 | ord(c)
+                state = self.arcs.get(key, 0)
+                if not state:
+                    state = self.arcs[key] = len(self.final)
+                    self.final.append(-1)
+            self.final[state] = i
         self.together: dict[tuple[str, str], bool] = {}
         self.trees: dict[str, tuple[list, list] | None] = {}
         self.splits: dict[str, list[str]] = {}
@@ -62,9 +114,10 @@ class Pieces:
 
         The normaliser escapes spaces as marks, with one before the text if the model wants it. A line feed begins a run,
         unless some piece has one."""
-        text = (text or "").replace(MARK, " ")
+        text = (text if self.normaliser is None else self.normaliser.apply(text or "")) or ""
+        text = text.replace(MARK, " ")
         if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
+            text = SPACES.sub(" ", text.strip(" "))
         if not text:
             return []
         parts = (text.replace("\n", " \n") if self.lines else text).split(" ")
@@ -166,19 +219,20 @@ class Pieces:
         return self.tree(piece) is not None
 
     def compose(self, run: str, i: int) -> list[tuple[int, int, float]]:
-        """Arcs of the lattice of a run that leave position i, the longest first: (end, id or -1 for fallback, weight)."""
-        arcs = []
-        ids, free = self.ids, self.kind == BPE
-        for length in self.from_two.get(run[i : i + 2], ()):
-            k = ids.get(run[i : i + length])
-            if k is not None and i + length <= len(run):
-                arcs.append((i + length, k, 0.0 if free else -self.scores[k]))
-        k = ids.get(run[i])
-        if k is None:
-            arcs.append((i + 1, -1, 0.0 if free else -self.unknown_score))
-        elif not arcs or arcs[-1][0] > i + 1:
-            arcs.append((i + 1, k, 0.0 if free else -self.scores[k]))
-        return arcs
+        """Arcs of the composition of a run with the pieces and byte fallback that leave position i, the longest first: (end,
+        id or -1 for fallback, weight)."""
+        out, state, single, free = [], 0, False, self.kind == BPE
+        for j in range(i, len(run)):
+            state = self.arcs.get(state << 21 | ord(run[j]), 0)
+            if not state:
+                break
+            k = self.final[state]
+            if k != -1:
+                single = single or j == i
+                out.append((j + 1, k, 0.0 if free else -self.scores[k]))
+        if not single:
+            out.insert(0, (i + 1, -1, 0.0 if free else -self.unknown_score))
+        return out[::-1]
 
     def path(self, run: str) -> list[tuple[int, int, int]]:
         """The arcs (begin, end, id) of the tropical shortest path from 0 to the end of the run; composes as it goes."""
