@@ -45,6 +45,18 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, most):
     assert decontamination.decontaminate(frame.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_very_long_texts_in_blocks(spark):
+    rng = random.Random(31)
+    word = lambda n: [f"w{rng.randrange(10**5)}" for _ in range(n)]
+    whole = word(150_000)
+    passage = whole[4090:4110]  # over the edge of a block
+    items = [(1, " ".join(whole)), (2, " ".join(passage)), (3, "w1")]
+    docs = [(1, " ".join(whole)), (2, " ".join([*word(5000), *passage[:12], *word(5000)])), (3, " ".join([*word(4080), *passage[2:], *word(9)])), (4, " ".join(["w1x"] * 300_000)), (5, "aa " * 40_000)]
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute.contamination([t for _, t in docs], items)
+    assert got == {i: x for (i, _), x in zip(docs, want, strict=True)}
+
+
 def test_ngram_join_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 7)  # keys of several blocks
     monkeypatch.setattr(ngram_join, "BUFFER", 3000)
@@ -157,14 +169,21 @@ def test_the_limit_of_frequent_lines_does_not_grow_with_the_host(spark):
     assert {(r.doc_id, r.line) for r in removed.collect()} == {(i, 1) for i in range(30)} and judged.where("not kept").count() == 0
 
 
-def test_language_identification(spark):
+def test_language_identification(spark, monkeypatch):
     rng = random.Random(7)
     langs = {"en": "the and with house river green".split(), "de": "der und mit haus fluß grün".split(), "es": "el y con casa río verde".split()}
     make = lambda x, n: " ".join(rng.choice(langs[x]) for _ in range(n))
     docs = spark.createDataFrame([(i, make(x, 40), x) for i in range(20) for x in langs] + [(1, None, "en"), (2, "x", None)], "doc_id long, text string, lang string")
     model = language_id.train(docs)
+    assert model.shards == 1
     tests = [(x, make(x, 12)) for x in langs for _ in range(10)] + [("und", None), ("und", ""), ("und", "12 !? 😀"), ("und", "…")]
-    got = language_id.predict(spark.createDataFrame([(i, t, "clash") for i, (_, t) in enumerate(tests)], "id int, text string, score string"), model).collect()
+    frame = spark.createDataFrame([(i, t, "clash") for i, (_, t) in enumerate(tests)], "id int, text string, score string")
+    got = language_id.predict(frame, model).collect()
+    monkeypatch.setattr(language_id, "MOST_CELLS", 300)
+    sharded = language_id.train(docs)
+    assert sharded.shards > 3
+    again = {r.id: r for r in language_id.predict(frame, sharded).collect()}
+    assert all(again[r.id].lang_pred == r.lang_pred and again[r.id].score == pytest.approx(r.score) for r in got)
     assert {r.id: r.lang_pred for r in got} == {i: x for i, (x, _) in enumerate(tests)}
     assert all(0 <= r.score <= 1 for r in got)
     assert language_id.train(docs.limit(0)) is None

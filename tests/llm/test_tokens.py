@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 
@@ -13,7 +14,7 @@ from sentencepiece import sentencepiece_model_pb2  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from quillon.llm import sentencepiece_fst, token_counts, token_output  # noqa: E402
-from quillon.llm.pieces import Pieces  # noqa: E402
+from quillon.llm.pieces import Normaliser, Pieces  # noqa: E402
 
 MODEL, WORDS = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
 SP = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -58,6 +59,24 @@ def test_a_unigram_model_takes_the_greatest_sum_of_scores():
     assert counter.count(texts) == [len(sp.encode(t)) for t in texts]
 
 
+def test_the_normaliser_of_a_model_is_compiled():
+    library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    m = sentencepiece_model_pb2.ModelProto()
+    m.ParseFromString(library.serialized_model_proto())
+    own = Normaliser(m.normalizer_spec.precompiled_charsmap)
+    plain = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=False, remove_extra_whitespaces=False)
+    for text in [*ODD, "ｆｕｌｌ　width １２", "ﬁne ½ ™", "e\u0301 か\u3099 \u200b", "Å Ω", "㍿ ㌔"]:
+        assert own.apply(text).replace("▁", " ") == plain.normalize(text).replace("▁", " "), text
+    whole = sentencepiece_model_pb2.ModelProto()
+    whole.ParseFromString(unigram())
+    whole.normalizer_spec.CopyFrom(m.normalizer_spec)
+    whole.normalizer_spec.add_dummy_prefix = True
+    proto = whole.SerializeToString()
+    sp, fst = sentencepiece.SentencePieceProcessor(model_proto=proto), sentencepiece_fst.Transducer(Pieces(proto=proto))
+    texts = ["ｆｕｌｌ width  x ", "ﬁne ½", "e\u0301t\u0301 ", "  plain the ", "", "中文 １２"]
+    assert [x.tolist() for x in fst.encode(texts)] == [sp.encode(t) for t in texts]
+
+
 def test_long_runs_and_the_trie_give_the_same():
     p = Pieces(MODEL)
     for run in ["▁" + "theinganderß" * 4, "▁" * 40 + "word", "▁" + "😀" * 5]:
@@ -85,7 +104,28 @@ PARTS = ["a", "É", "é", " ", "\n", "\t", "\x1c", "'s", "12", "<|endoftext|>",
 @given(st.lists(st.sampled_from(PARTS), max_size=20))
 def test_word_bpe_equals_the_library(parts):
     text = "".join(parts)
-    assert ENCODER.encode([text])[0].tolist() == [*TOKENIZER.encode(text, add_special_tokens=False).ids, 2]
+    assert encoded(ENCODER, [text, None])[1] == [2]
+    assert encoded(ENCODER, [text])[0] == [*TOKENIZER.encode(text, add_special_tokens=False).ids, 2]
+
+
+def encoded(encoder, texts):
+    out = []
+    for _, _, ids, ends in encoder.encode(pa.array(texts, pa.string())):
+        out += [x.tolist() for x in np.split(ids, ends[:-1])]
+    return out
+
+
+def test_texts_in_chunks_and_vocabularies_that_keep_spaces(monkeypatch):
+    texts = ["The end.", None, "", "a b\nc " * 50, "x" * 1000, "The END, the end"]
+    whole = token_output.Encoder(P.path("byte_bpe_50k.json"), 50256)
+    assert ENCODER.by_runs and not whole.by_runs  # spaces are part of its pieces
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for most in (1, 100, 1 << 20):
+        monkeypatch.setattr(token_output, "CHUNK_BYTES", most)
+        for array in (pa.array(texts), pa.array(["zz", *texts])[1:]):
+            assert [x for _, _, ids, ends in ENCODER.encode(array) for x in np.split(ids, ends[:-1])][0].tolist() == [*TOKENIZER.encode(texts[0]).ids, 2]
+        assert encoded(ENCODER, texts) == [[*TOKENIZER.encode(t or "").ids, 2] for t in texts]
+        assert encoded(whole, texts) == [[*library.encode(t or "").ids, 50256] for t in texts]
 
 
 TOKENIZER = Tokenizer.from_file(WORDS)
