@@ -9,14 +9,15 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable, Mapping, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quillon.errors import DuplicateKeyError, ForeignKeyError, HookError, NotFoundError, OperationError, TransactionError, UniqueConstraintError, ValidationError
-from quillon.functions import ids
+from quillon.errors import CollectionNotFoundError, DuplicateKeyError, ForeignKeyError, HookError, NotFoundError, OperationError, TransactionError, UniqueConstraintError, ValidationError
+from quillon.functions import ids, search
 from quillon.operators import aggregate, constraints, predicate, projection, updates
 from quillon.plans import query as plans
 from quillon.plugins import Registry
@@ -27,7 +28,8 @@ from quillon.store import Store
 @dataclass
 class Created:
     created: DataFrame
-    skipped: list[dict] = field(default_factory=list)
+    #: id and reason
+    skipped: DataFrame
 
 
 @dataclass
@@ -48,7 +50,7 @@ class Collection:
 
     def query(self, on_dangling: str = "error", **query):
         """where, populate, sort, select, limit, offset, cursor; a lazy DataFrame, or a page for a cursor."""
-        return plans.run(self.name, query, self.db.specs, self.db.frames, self.db.registry.operators, on_dangling)
+        return plans.run(self.name, query, self.db.specs, self.db.frames, self.db.registry.operators, on_dangling, self.db.search_table)
 
     def find_by_id(self, ident) -> Row:
         row = self.frame.where(F.col(self.spec.id_field) == F.lit(ident)).limit(1).first()
@@ -72,12 +74,25 @@ class Collection:
 
     def create_many(self, rows: Sequence[Mapping] | DataFrame, skip_duplicates: bool = False, validate_relationships: bool = True) -> Created:
         """All or none; with skip_duplicates, rows that fail are left out with a reason: validation, duplicate id, unique or foreign key."""
-        new = self._inputs(rows)
-        missing = constraints.issues(new, self.spec)
         stored = self.frame
-        new = new.withColumn("_issues", missing).withColumn("_n", F.monotonically_increasing_id())
-        new = self.db.keep(new)
-        ident = self.spec.id_field
+        new, failed = self._judged(rows, validate_relationships)
+        skipped = self.db.spark.createDataFrame([], "id string, reason string")
+        if skip_duplicates:
+            failed = self.db.keep(failed)
+            skipped = failed.select(F.col(self.spec.id_field).alias("id"), F.col("why").alias("reason"))
+            new = new.join(failed.select("_n"), "_n", "left_anti")
+        else:
+            self._raise_first(failed)
+        new = new.drop("_issues", "_n")
+        self._publish(stored.unionByName(new), ("create", new))
+        return Created(new, skipped)
+
+    def _judged(self, rows: Sequence[Mapping] | DataFrame, validate_relationships: bool = True, others: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """New rows (with _n and _issues), and of those that can't be created _n, id, why and issues. others: the stored rows, unless
+        they are the collection's."""
+        new = self._inputs(rows)
+        stored, ident = self.frame if others is None else others, self.spec.id_field
+        new = self.db.keep(new.withColumn("_issues", constraints.issues(new, self.spec)).withColumn("_n", F.monotonically_increasing_id()))
         bad = [("validation", new.where(F.size("_issues") > 0))]
         bad.append(("duplicate id", new.join(stored.select(ident), ident, "left_semi")))
         first = new.groupBy(ident).agg(F.min("_n").alias("_first"))
@@ -97,19 +112,13 @@ class Collection:
         for i, (why, df) in enumerate(bad):
             part = df.select("_n", ident, F.lit(i).alias("_rank"), F.lit(why).alias("_why"), F.col("_issues"))
             failed = part if failed is None else failed.unionByName(part)
-        failed = failed.groupBy("_n", ident).agg(F.min_by("_why", "_rank").alias("why"), F.first("_issues").alias("issues"))
-        if skip_duplicates:
-            failed = self.db.keep(failed)
-            skipped = [{"id": r[ident], "reason": r.why} for r in failed.select(ident, "why").collect()]
-            new = new.join(failed.select("_n"), "_n", "left_anti")
-        else:
-            skipped = []
-            if (r := failed.orderBy("_n").first()) is not None:
-                what = {"validation": ValidationError, "duplicate id": DuplicateKeyError, "unique": UniqueConstraintError, "foreign key": ForeignKeyError}[r.why]
-                raise what(f"{self.name} {r[ident]!r}: {r.why}", collection=self.name, id=r[ident], issues=[{"field": c, "message": "is missing"} for c in r.issues])
-        new = new.drop("_issues", "_n")
-        self._publish(stored.unionByName(new), "create", new)
-        return Created(new, skipped)
+        return new, failed.groupBy("_n", ident).agg(F.min_by("_why", "_rank").alias("why"), F.first("_issues").alias("issues"))
+
+    def _raise_first(self, failed: DataFrame) -> None:
+        if (r := failed.orderBy("_n").first()) is not None:
+            ident = r[self.spec.id_field]
+            what = {"validation": ValidationError, "duplicate id": DuplicateKeyError, "unique": UniqueConstraintError, "foreign key": ForeignKeyError}[r.why]
+            raise what(f"{self.name} {ident!r}: {r.why}", collection=self.name, id=ident, issues=[{"field": c, "message": "is missing"} for c in r.issues])
 
     def update(self, ident, changes: Mapping) -> Row:
         got = self.update_many(F.col(self.spec.id_field) == F.lit(ident), changes)
@@ -129,7 +138,7 @@ class Collection:
         if count:
             rest = stored.where(~F.coalesce(hit, F.lit(False)))
             self._check(changed, rest, set(new_values))
-            self._publish(rest.unionByName(changed), "update", changed)
+            self._publish(rest.unionByName(changed), ("update", changed))
         return Changed(count, changed)
 
     def delete(self, ident, soft: bool = False) -> Row:
@@ -162,40 +171,115 @@ class Collection:
         if soft:
             gone = self.db.keep(gone.withColumns({c: updates.now().cast(stored.schema[c].dataType) for c in ("deletedAt", "updatedAt") if c in stored.columns}))
             rest = rest.unionByName(gone)
-        self._publish(rest, "delete" if not soft else "update", gone)
+        self._publish(rest, ("delete" if not soft else "update", gone))
         return Changed(count, gone)
 
     def upsert(self, where: Mapping, create: Mapping, update: Mapping) -> tuple[Row, str]:
-        got = self.upsert_many([{"where": where, "create": create, "update": update}])
-        return got[0]
+        return self.upsert_many([{"where": where, "create": create, "update": update}])[0]
 
     def upsert_many(self, inputs: Sequence[Mapping]) -> list[tuple[Row, str]]:
-        """(row, "created" | "updated" | "unchanged") of each input {where, create, update}, in one version."""
+        """(row, "created" | "updated" | "unchanged") of each input {where, create, update}, in their order and in one version.
+
+        All inputs are held against the rows as they were before, by one join for each form of input (the fields and update
+        operators that it names); of several that update one row, the last one counts."""
         self._changeable("upsert")
-        ident, fresh = self.spec.id_field, []
+        stored, ident = self.frame, self.spec.id_field
         keys = [(ident,), *constraints.normalize(self.spec.unique)]
-        results: dict[int, tuple] = {}
-        with self.db.transaction() as tx:
-            own = tx[self.name]
-            for i, x in enumerate(inputs):
-                if not any(all(k in x["where"] for k in u) for u in keys):
-                    raise ValidationError("where must hold the id or a unique key", issues=[{"field": "where", "message": "not unique"}])
-                found = own.frame.where(predicate.where(own.frame.schema, dict(x["where"]))).first()
-                if found is None:
-                    fresh.append((i, {**x["where"], **x["create"]}))
-                    continue
-                row = found.asDict(recursive=True)
-                if all(not isinstance(v, Mapping) and k in row and row[k] == v for k, v in x["update"].items()):
-                    results[i] = found, "unchanged"
-                else:
-                    results[i] = own.update(found[ident], x["update"]), "updated"
-            if fresh:
-                # an id for each first, so that the rows can be told apart afterwards
-                given = [(i, {ident: self._new_id(), **r}) for i, r in fresh]
-                made = {r[ident]: r for r in own.create_many([r for _, r in given]).created.collect()}
-                for i, r in given:
-                    results[i] = made[r[ident]], "created"
-        return [results[i] for i in range(len(inputs))]
+        forms: dict[tuple, list[tuple[int, Mapping]]] = {}
+        for i, x in enumerate(inputs):
+            if not any(all(k in x["where"] for k in u) for u in keys) or any(isinstance(v, Mapping) or k not in stored.columns for k, v in x["where"].items()):
+                raise ValidationError("where must hold the id or a unique key, and values of fields", issues=[{"field": "where", "message": "not unique"}])
+            changes = {k: v for k, v in x["update"].items() if k not in self.spec.computed}
+            form = tuple(sorted(x["where"])), tuple(sorted((k, updates.form(stored.schema, k, v)) for k, v in changes.items()))
+            forms.setdefault(form, []).append((i, {**x, "update": changes}))
+        judged = None
+        for (names, changes), some in forms.items():
+            kinds = [stored.schema[c].dataType for c in names] + [updates.operand_type(stored.schema, k, op) for k, op in changes if not op.startswith("=")]
+            moving = [(k, op) for k, op in changes if not op.startswith("=")]
+            shape = StructType([StructField("_i", LongType()), *[StructField(f"_x{n}", kind) for n, kind in enumerate(kinds)]])
+            try:
+                asked = self.db.spark.createDataFrame([(i, *[x["where"][c] for c in names], *[updates.operand(x["update"][k], op) for k, op in moving]) for i, x in some], shape)
+            except Exception as e:
+                raise ValidationError(f"{self.name}: {e}", issues=[{"field": "*", "message": str(e)}]) from e
+            same = reduce(Column.__and__, [F.col(f"_x{n}").eqNullSafe(F.col(f"`{c}`")) for n, c in enumerate(names)])
+            both = asked.join(stored.withColumn("_hit", F.lit(True)), same, "left")
+            new = {k: F.col(f"_x{len(names) + n}") if not op else {op: F.col(f"_x{len(names) + n}")} for n, (k, op) in enumerate(moving)}
+            new |= {k: some[0][1]["update"][k] for k, op in changes if op.startswith("=")}
+            values = updates.expressions(stored.schema, new, ident)
+            plain = all(not op for _, op in changes)
+            kept = reduce(Column.__and__, [F.col(f"`{k}`").eqNullSafe(v) for k, v in values.items() if k in new], F.lit(True)) if plain else F.lit(False)
+            both = both.withColumn("_same", kept)
+            both = both.select("_i", F.coalesce("_hit", F.lit(False)).alias("_hit"), "_same", *[F.when(F.col("_same"), F.col(f"`{c}`")).otherwise(values[c]).alias(c) if c in values else F.col(f"`{c}`") for c in stored.columns])
+            judged = both if judged is None else judged.unionByName(both)
+        if judged is None:
+            return []
+        judged = self.db.keep(judged)
+        last = judged.where("_hit and not _same").groupBy(ident).agg(F.max("_i").alias("_i"))
+        changed = self.db.keep(self._hooked("before_update", judged.join(last.select("_i"), "_i", "left_semi").select(*stored.columns)))
+        missing = sorted(r["_i"] for r in judged.where("not _hit").select("_i").collect())
+        touched = {k.split(".")[0] for _, changes in forms for k, _ in changes}
+        rest = stored.join(changed.select(ident), ident, "left_anti").select(*stored.columns)
+        n_changed = changed.count()
+        if n_changed:
+            self._check(changed, rest, touched)
+        whole, events, made = rest.unionByName(changed), [("update", changed)] if n_changed else [], {}
+        if missing:  # an id for each first, so that the rows can be told apart afterwards
+            given = {i: {ident: self._new_id(), **inputs[i]["where"], **inputs[i]["create"]} for i in missing}
+            new, failed = self._judged(list(given.values()), others=whole)
+            self._raise_first(failed)
+            new = new.drop("_issues", "_n")
+            whole, events = whole.unionByName(new), [*events, ("create", new)]
+            by_id = {r[ident]: r for r in new.collect()}
+            made = {i: (by_id[r[ident]], "created") for i, r in given.items()}
+        if events:
+            self._publish(whole, *events)
+        after = {r[ident]: r for r in changed.collect()}
+        found = {r["_i"]: r for r in judged.where("_hit").collect()}
+        out = []
+        for i in range(len(inputs)):
+            if i in made:
+                out.append(made[i])
+            else:
+                row = Row(**{c: found[i][c] for c in stored.columns})
+                out.append((row, "unchanged") if found[i]["_same"] else (after[row[ident]], "updated"))
+        return out
+
+    def merge(self, rows: DataFrame, update: Sequence[str] | None = None) -> DataFrame:
+        """Upserts a DataFrame by id, with one full join and one version: rows with a new id are created, of others the columns
+        ``update`` (all that rows have, if it isn't given) are set. Gives id and action: created, updated or unchanged. Rows with
+        the same id are an error, as are those that no create or update would take."""
+        self._changeable("upsert")
+        stored, ident = self.frame, self.spec.id_field
+        if (twice := constraints.unique_violations(rows, [ident]).first()) is not None:
+            raise DuplicateKeyError(f"{self.name} {twice[ident]!r}: duplicate id", collection=self.name, id=twice[ident])
+        names = [c for c in (update or rows.columns) if c in stored.columns and c != ident]
+        given = rows.select(F.col(ident).alias("_id"), *[F.col(f"`{c}`").cast(stored.schema[c].dataType).alias(f"_{c}") for c in rows.columns if c in stored.columns and c != ident])
+        both = stored.withColumn("_hit", F.lit(True)).join(given.withColumn("_new", F.lit(True)), F.col(ident) == F.col("_id"), "full")
+        same = reduce(Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_{c}`")) for c in names], F.lit(True))
+        action = F.when(F.col("_new").isNull(), "stored").when(F.col("_hit").isNull(), "created").when(same, "unchanged").otherwise("updated")
+        stamp = {"updatedAt"} & set(stored.columns) - set(names)
+
+        def value(c: str) -> Column:
+            now, new = F.col(f"`{c}`"), F.col(f"`_{c}`") if f"_{c}" in given.columns else F.lit(None).cast(stored.schema[c].dataType)
+            if c == ident:
+                return F.coalesce(now, F.col("_id")).alias(c)
+            if c in ("createdAt", "updatedAt"):
+                time = updates.now().cast(stored.schema[c].dataType)
+                new = F.coalesce(new, time)
+                now = F.when(F.col("_action") == "updated", time).otherwise(now) if c in stamp else now
+            if c in names:
+                now = F.when(F.col("_new").isNotNull(), new).otherwise(now)
+            return F.when(F.col("_action") == "created", new).otherwise(now).alias(c)
+
+        whole = self.db.keep(both.withColumn("_action", action).select(*[value(c) for c in stored.columns], "_action"))
+        done = whole.where("_action <> 'stored'")
+        changed, new = (done.where(F.col("_action") == a).select(*stored.columns) for a in ("updated", "created"))
+        rest = whole.where("_action in ('stored', 'unchanged')").select(*stored.columns)
+        self._check(changed, rest.unionByName(new), set(names))
+        self._check(new, rest.unionByName(changed), set(stored.columns))
+        if not done.where("_action <> 'unchanged'").isEmpty():
+            self._publish(whole.select(*stored.columns), ("update", changed), ("create", new))
+        return done.select(ident, F.col("_action").alias("action"))
 
     # relationship writes
 
@@ -204,7 +288,7 @@ class Collection:
         plain = {k: v for k, v in row.items() if k not in self.spec.relationships}
         ident = self.spec.id_field
         plain.setdefault(ident, self._new_id())
-        with self.db.transaction() as tx:
+        with self.db.joined() as tx:
             after = []
             for name, ops in row.items():
                 if name not in self.spec.relationships:
@@ -223,7 +307,7 @@ class Collection:
     def update_with_relationships(self, ident, changes: Mapping) -> Row:
         """Besides plain changes: $disconnect, $connect, $update, $delete and $set on relations, in this order."""
         plain = {k: v for k, v in changes.items() if k not in self.spec.relationships}
-        with self.db.transaction() as tx:
+        with self.db.joined() as tx:
             own = tx[self.name]
             row = own.find_by_id(ident)
             for name, ops in changes.items():
@@ -243,14 +327,12 @@ class Collection:
                 for op in ("$disconnect", "$delete"):
                     for w in _many(ops.get(op)):
                         target.update_many({**ours, **w}, {key: None})
-                for w in _many(ops.get("$connect")):
-                    target.update(target._one(w), {key: ident})
+                target._connect(_many(ops.get("$connect")), key, ident)
                 for u in _many(ops.get("$update")):
                     target.update_many({**ours, **u["where"]}, u["data"])
                 if "$set" in ops:
                     target.update_many(ours, {key: None})
-                    for w in _many(ops["$set"]):
-                        target.update(target._one(w), {key: ident})
+                    target._connect(_many(ops["$set"]), key, ident)
             if plain:
                 own.update(ident, plain)
         return self.find_by_id(ident)
@@ -277,7 +359,7 @@ class Collection:
                         raise ForeignKeyError(f"{self.name} is referred to by {rel.target}.{key}", collection=self.name, field=key)
                 else:
                     hits[name] = rel.target, key, self.db.keep(related.select(self.db.specs[rel.target].id_field)), how
-        with self.db.transaction() as tx:
+        with self.db.joined() as tx:
             for name, (target, key, related, how) in hits.items():
                 other = tx[target]
                 tid = other.spec.id_field
@@ -285,11 +367,11 @@ class Collection:
                 rest = other.frame.join(related, tid, "left_anti")
                 n = related.count()
                 if n and how == "cascade":
-                    other._publish(rest.select(*other.frame.columns), "delete", mark)
+                    other._publish(rest.select(*other.frame.columns), ("delete", mark))
                 elif n:
                     column = "deletedAt" if how == "cascade_soft" else key
                     value = updates.now() if how == "cascade_soft" else F.lit(None)
-                    other._publish(rest.unionByName(mark.withColumn(column, value.cast(mark.schema[column].dataType))).select(*other.frame.columns), "update", mark)
+                    other._publish(rest.unionByName(mark.withColumn(column, value.cast(mark.schema[column].dataType))).select(*other.frame.columns), ("update", mark))
                 cascaded[name] = {"count": n, "action": how}
             done = tx[self.name]._delete_rows(gone, soft)
         return done, cascaded
@@ -304,7 +386,7 @@ class Collection:
             rest = rest.unionByName(gone.withColumn("deletedAt", updates.now().cast(stored.schema["deletedAt"].dataType)))
         n = gone.count()
         if n:
-            self._publish(rest, "update" if soft else "delete", gone)
+            self._publish(rest, ("update" if soft else "delete", gone))
         return Changed(n, gone)
 
     def _one(self, w):
@@ -316,6 +398,19 @@ class Collection:
             raise ForeignKeyError(f"{self.name} has no row {dict(w)}", collection=self.name, value=dict(w))
         return row[self.spec.id_field]
 
+    def _connect(self, some: list, key: str, parent) -> None:
+        """Sets the key of all the rows that the connections name: one query for those by id, and one update."""
+        if not some:
+            return
+        ident = self.spec.id_field
+        by_id = [w if not isinstance(w, Mapping) else w[ident] for w in some if not isinstance(w, Mapping) or set(w) == {ident}]
+        found = [self._one(w) for w in some if isinstance(w, Mapping) and set(w) != {ident}]
+        if by_id:
+            have = {r[0] for r in self.frame.where(F.col(ident).isin(by_id)).select(ident).collect()}
+            if lost := [x for x in by_id if x not in have]:
+                raise ForeignKeyError(f"{self.name} has no row {lost[0]!r}", collection=self.name, value=lost[0])
+        self.update_many(F.col(ident).isin([*by_id, *found]), {key: parent})
+
     def _link_ref(self, tx: Database, target: str, ops: Mapping):
         other = tx[target]
         ident = other.spec.id_field
@@ -339,8 +434,7 @@ class Collection:
                 other.update(found[ident], {key: parent})
         if new:
             other.create_many([{ident: other._new_id(), **r, key: parent} for r in new])
-        for w in _many(ops.get("$connect")):
-            other.update(other._one(w), {key: parent})
+        other._connect(_many(ops.get("$connect")), key, parent)
 
     def _new_id(self):
         g = self.spec.id_generator
@@ -394,14 +488,16 @@ class Collection:
             rows = rows if got is None else got
         return rows
 
-    def _publish(self, df: DataFrame, operation: str, rows: DataFrame) -> None:
-        self.db.publish(self.name, df, operation)
-        for point in (f"after_{operation}", "on_change"):
-            for hook in (*self.db.registry.hooks.get(point, ()), *self.spec.hooks.get(point, ())):
-                try:
-                    hook(rows, self.name)
-                except Exception:  # noqa: BLE001  the change is done; hooks after it can't undo it
-                    continue
+    def _publish(self, df: DataFrame, *events: tuple[str, DataFrame]) -> None:
+        """The collection's next version, and the hooks after each (operation, rows) that it is made of."""
+        self.db.publish(self.name, df, *events)
+        for operation, rows in events:
+            for point in (f"after_{operation}", "on_change"):
+                for hook in (*self.db.registry.hooks.get(point, ()), *self.spec.hooks.get(point, ())):
+                    try:
+                        hook(rows, self.name)
+                    except Exception:  # noqa: BLE001  the change is done; hooks after it can't undo it
+                        continue
 
 
 def _many(x) -> list:
@@ -409,93 +505,174 @@ def _many(x) -> list:
 
 
 class Database:
-    """Collections by name. initial: rows or DataFrames by collection, which win over stored rows with the same id."""
+    """Collections by name. initial: rows or DataFrames by collection, which win over stored rows with the same id, and over those
+    of the collection's file. save_after: seconds from a change to the writing of the collection's file (0: at once); without it,
+    files are written by ``flush``. New rows of an append-only collection in JSON lines are appended to its file."""
+
+    def __init__(self, spark: SparkSession, specs: Mapping[str, CollectionSpec], initial: Mapping | None = None, root: str | None = None, plugins: Sequence = (), save_after: float | None = None):
+        from quillon.sources.persist import Saver
 
-    def __init__(self, spark: SparkSession, specs: Mapping[str, CollectionSpec], initial: Mapping | None = None, root: str | None = None, plugins: Sequence = ()):
         self.spark, self.specs = spark, dict(specs)
         self.registry = Registry(plugins, self.specs)
         self.store = Store(spark, root)
         self.frames: dict[str, DataFrame] = {}
         self.versions: dict[str, int] = {}
-        self._lock, self._open = threading.Lock(), False
+        self._lock, self._search, self.saver = threading.Lock(), {}, Saver(self, save_after)
         for name, spec in self.specs.items():
             df, version = self.store.load(name, spec.schema)
+            from_file = not version and spec.file
+            if from_file:
+                df = self.saver.load(name)
             given = (initial or {}).get(name)
             if given is not None:
                 if not isinstance(given, DataFrame):
                     by_id = {r[spec.id_field]: r for r in given}  # of one id, the last
                     given = spark.createDataFrame([tuple(r.get(c) for c in spec.schema.names) for r in by_id.values()], spec.schema)
-                df = df.join(given.select(spec.id_field), spec.id_field, "left_anti").select(*given.columns).unionByName(given) if version else given
+                df = df.join(given.select(spec.id_field), spec.id_field, "left_anti").select(*given.columns).unionByName(given) if version or from_file else given
             self.frames[name], self.versions[name] = df, version
 
     def __getitem__(self, name: str) -> Collection:
-        from quillon.errors import CollectionNotFoundError
-
         if name not in self.specs:
             raise CollectionNotFoundError(f"no collection {name}", collection=name)
         return Collection(self, name)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """The rows, written once: ids and times in them don't change when they are read again."""
-        import uuid
-
-        path = f"{self.store.root}/_work/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def publish(self, name: str, df: DataFrame, operation: str) -> None:
-        self.frames[name], self.versions[name] = self.store.save(name, df, self.versions[name])
-        self.store.log(name, operation, self.versions[name])
+        return self.store.write("_work", df)[0]
+
+    def publish(self, name: str, df: DataFrame, *events: tuple[str, DataFrame]) -> None:
+        frame, path = self.store.write(name, df)
+        self._commit({name: (frame, path)}, {name: events})
+
+    def take(self, name: str, frame: DataFrame, path: str) -> None:
+        """Rows from the collection's file as its next version; the file isn't written again."""
+        self.versions |= self.store.commit({name: path}, {name: self.versions[name]})
+        self.frames[name] = frame
+        self._search.pop(name, None)
+        self.store.log(name, "update", self.versions[name])
+
+    def _commit(self, new: Mapping[str, tuple[DataFrame, str]], events: Mapping[str, Sequence[tuple[str, DataFrame]]]) -> None:
+        """Takes new frames (with their paths) as current, all at once or none."""
+        self.versions |= self.store.commit({n: path for n, (_, path) in new.items()}, {n: self.versions[n] for n in new})
+        for name, (frame, _) in new.items():
+            self.frames[name] = frame
+            operations = {op for op, _ in events[name]}
+            self._search_after(name, events[name])
+            self.store.log(name, operations.pop() if len(operations) == 1 else "update", self.versions[name])
+            self.saver.changed(name, events[name])
+
+    # the search index: tokens of the collection's rows, sorted by token; made when a query first wants it
+
+    def search_table(self, name: str) -> DataFrame | None:
+        """(token, id) of the collection's ``search_index`` fields, or None if it has none."""
+        spec = self.specs[name]
+        if not spec.search_index or spec.schema is None:
+            return None
+        if name not in self._search:
+            self._search[name] = self._sorted_tokens(name, self.frames[name])
+        return self._search[name]
+
+    def _sorted_tokens(self, name: str, rows: DataFrame) -> DataFrame:
+        spec = self.specs[name]
+        table = search.token_table(rows, spec.id_field, list(spec.search_index))
+        return self.keep(table.repartitionByRange("token").sortWithinPartitions("token"))
+
+    def _search_after(self, name: str, events: Sequence[tuple[str, DataFrame]]) -> None:
+        """Keeps the index up: tokens of created rows are added, and those of changed or deleted ones replaced."""
+        if (table := self._search.pop(name, None)) is None:
+            return
+        ident = self.specs[name].id_field
+        for operation, rows in events:
+            if operation != "create":
+                table = table.join(rows.select(ident), ident, "left_anti")
+            if operation != "delete":
+                table = table.unionByName(search.token_table(rows, ident, list(self.specs[name].search_index)).select(*table.columns))
+        self._search[name] = self.keep(table.repartitionByRange("token").sortWithinPartitions("token"))
 
     @contextmanager
     def transaction(self):
-        """A database with the same collections whose changes are seen by itself alone, until the block ends well. Nested
-        blocks in one join it. One transaction at a time; another one is refused."""
-        if isinstance(self, Transaction):
-            yield self
-            return
+        """A database with the same collections whose changes are seen by itself alone, until the block ends well: then one commit
+        takes them all. One transaction at a time; another one, or one within it, is refused."""
         if not self._lock.acquire(blocking=False):
             raise TransactionError("another transaction is open", operation="begin")
         tx = Transaction(self)
         try:
             yield tx
-            for name in tx.touched:
-                self.publish(name, tx.frames[name], "update" if len(tx.operations[name]) > 1 else next(iter(tx.operations[name])))
+            if tx.written:
+                self._commit(tx.written, tx.events)
         finally:
             tx.closed = True
             self._lock.release()
 
+    def joined(self):
+        """A transaction, or in one that itself: for changes that are made of several."""
+        return self.transaction()
+
+    def begin(self) -> Transaction:
+        """A transaction to be ended by its ``commit`` or ``rollback``."""
+        return Transaction.begun(self)
+
     def audit(self) -> DataFrame | None:
         return constraints.audit(self.specs, self.frames)
 
     def flush(self) -> None:
         """Writes the collections that have a file, in its format."""
-        from quillon.sources import files
-
-        for name, spec in self.specs.items():
-            if spec.file:
-                files.save(self.frames[name], spec.file, spec)
+        self.saver.flush()
 
     def close(self) -> None:
+        self.saver.close()
         self.registry.shutdown()
 
 
 class Transaction(Database):
     def __init__(self, db: Database):
-        self.spark, self.specs, self.registry, self.store = db.spark, db.specs, db.registry, db.store
-        self.frames, self.versions = dict(db.frames), dict(db.versions)
-        self.touched: dict[str, None] = {}
-        self.operations: dict[str, set[str]] = {}
-        self.closed = False
+        self.db, self.spark, self.specs, self.registry, self.store = db, db.spark, db.specs, db.registry, db.store
+        self.frames, self.versions, self._search = dict(db.frames), dict(db.versions), {}
+        self.written: dict[str, tuple[DataFrame, str]] = {}
+        self.events: dict[str, list[tuple[str, DataFrame]]] = {}
+        self.closed, self._context = False, None
+
+    @classmethod
+    def begun(cls, db: Database) -> Transaction:
+        context = db.transaction()
+        tx = context.__enter__()
+        tx._context = context
+        return tx
+
+    def commit(self) -> None:
+        self._end(None)
+
+    def rollback(self) -> None:
+        self._end(TransactionError("rolled back", operation="rollback"))
+
+    def _end(self, why: Exception | None) -> None:
+        if self.closed or self._context is None:
+            raise TransactionError("the transaction is closed", operation="end")
+        if why is None:
+            self._context.__exit__(None, None, None)
+        else:
+            try:
+                self._context.__exit__(type(why), why, None)
+            except TransactionError as e:
+                if e is not why:
+                    raise
 
     def __getitem__(self, name: str) -> Collection:
         if self.closed:
             raise TransactionError("the transaction is closed", operation="use")
         return super().__getitem__(name)
 
-    def publish(self, name: str, df: DataFrame, operation: str) -> None:
+    def transaction(self):
+        raise TransactionError("a transaction is open already", operation="begin", reason="nested")
+
+    @contextmanager
+    def joined(self):
+        yield self
+
+    def publish(self, name: str, df: DataFrame, *events: tuple[str, DataFrame]) -> None:
         if self.closed:
             raise TransactionError("the transaction is closed", operation="write")
-        self.frames[name] = self.keep(df)
-        self.touched[name] = None
-        self.operations.setdefault(name, set()).add(operation)
+        self.written[name] = self.store.write(name, df)
+        self.frames[name] = self.written[name][0]
+        self.events.setdefault(name, []).extend(events)
+        self._search.pop(name, None)

@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from quillon import migrate
 from quillon.database import Database
 from quillon.errors import EngineError, ValidationError
 from quillon.frontends import parsers
@@ -49,8 +50,7 @@ def read_config(path: Path) -> dict[str, CollectionSpec]:
 
 
 def open_database(spark: SparkSession, specs: dict[str, CollectionSpec]) -> Database:
-    initial = {n: files.load(spark, s.file, s.schema, s.format, version=s.version, migrations=s.migrations) for n, s in specs.items() if s.file}
-    return Database(spark, specs, initial)
+    return Database(spark, specs)
 
 
 def show(rows: list[dict], how: str) -> str:
@@ -70,7 +70,8 @@ def show(rows: list[dict], how: str) -> str:
     return "\n".join([text[0], "  ".join("-" * w for w in widths), *text[1:]])
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, specs: dict[str, CollectionSpec] | None = None) -> int:
+    """specs: the collections, in place of those of the configuration, which can't hold migrations or computed fields."""
     p = argparse.ArgumentParser(prog="quillon", description=__doc__)
     p.add_argument("--config")
     p.add_argument("--output", choices=("table", "json", "yaml", "csv"), default="table")
@@ -102,23 +103,25 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     m.add_argument("action", nargs="?", choices=("status", "dry-run", "run"), default="status")
     a = p.parse_args(argv)
     try:
-        print(_run(a, spark))
+        print(_run(a, spark, specs))
     except EngineError as e:
         print(f"{e.tag}: {e.message}", file=sys.stderr)
         return 1
     return 0
 
 
-def _run(a: argparse.Namespace, spark: SparkSession | None) -> str:
+def _run(a: argparse.Namespace, spark: SparkSession | None, specs: dict[str, CollectionSpec] | None = None) -> str:
     if a.command == "init":
         path = Path(a.config or CONFIG)
         if path.exists():
             raise ValidationError(f"{path} exists", issues=[])
         path.write_text(json.dumps({"collections": {"notes": {"file": "notes.json", "schema": "id string, title string, createdAt string, updatedAt string"}}}, indent=2))
         return f"wrote {path}"
-    path = Path(a.config) if a.config else discover()
+    path = Path(a.config or CONFIG) if a.config or specs else discover()
     spark = spark or SparkSession.builder.appName("quillon").getOrCreate()
-    specs = read_config(path)
+    specs = specs or read_config(path)
+    if a.command == "migrate":
+        return _migrate(a, spark, specs)
     if a.command == "describe":
         spec = specs[a.collection]
         rows = [{"field": f.name, "type": f.dataType.simpleString(), "optional": f.nullable} for f in spec.schema]
@@ -126,8 +129,6 @@ def _run(a: argparse.Namespace, spark: SparkSession | None) -> str:
     db = open_database(spark, specs)
     if a.command in ("collections", "stats"):
         return show([{"collection": n, "file": s.file, "format": s.format or (s.file or "").rsplit(".", 1)[-1], "relationships": len(s.relationships), "rows": db.frames[n].count()} for n, s in specs.items()], a.output)
-    if a.command == "migrate":
-        return show([{"collection": n, "version": s.version, "steps": len(s.migrations)} for n, s in specs.items()], a.output)
     col = db[a.collection]
     if a.command == "query":
         asked = {"where": parsers.cli_filters(a.where), "sort": parsers.cli_sort(a.sort), "limit": a.limit, "select": a.select.split(",") if a.select else None}
@@ -151,5 +152,23 @@ def _run(a: argparse.Namespace, spark: SparkSession | None) -> str:
     return show([row.asDict(recursive=True)], a.output)
 
 
+def _migrate(a: argparse.Namespace, spark: SparkSession, specs: dict[str, CollectionSpec]) -> str:
+    """status and dry-run: what would be done with each file; run: migrated rows are written back."""
+    rows = []
+    for name, spec in specs.items():
+        if not spec.file:
+            continue
+        have = files.version_of(spark, spec.file, spec.format)
+        plan = migrate.dry_run(have, spec.version, spec.migrations)
+        row = {"collection": name, "file_version": have, "version": spec.version, "status": plan["status"], "steps": len(plan["steps"])}
+        if a.action == "dry-run":
+            row["steps"] = ", ".join(f"{x} to {y}" for x, y in plan["steps"])
+        elif a.action == "run" and plan["status"] == "needs-migration":
+            files.save(files.load(spark, spec.file, spec.schema, spec.format, version=spec.version, migrations=spec.migrations, id_field=spec.id_field), spec.file, spec)
+            row["status"] = "migrated"
+        rows.append(row)
+    return show(rows, a.output)
+
+
 if __name__ == "__main__":
     sys.exit(main())

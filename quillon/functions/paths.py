@@ -37,13 +37,3 @@ def string_paths(schema: StructType, prefix: str = "") -> Iterator[str]:
             yield prefix + f.name
         elif isinstance(f.dataType, StructType):
             yield from string_paths(f.dataType, f"{prefix}{f.name}.")
-
-
-def with_path(schema: StructType, path: str, value: Column) -> Column:
-    """The top-level column of the path with the value set in it."""
-    head, _, rest = path.partition(".")
-    return F.col(f"`{head}`").withField(rest, value) if rest else value
-
-
-def is_dot_path(path: str) -> bool:
-    return "." in path

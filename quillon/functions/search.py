@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,10 +14,16 @@ SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u
 WORD = "A-Za-z0-9_"
 #: Words of little meaning, for ``tokens(stop_words=True)``.
 STOP_WORDS = (
-    "a an the at by for from in into of off on onto out over to up with and but or nor so yet am are be been being did do does "
-    "doing done had has have having is it its was were he her him his i me my she that them they this us we what which who you "
-    "your as if not no yes all any can will just than then too very"
-).split()
+    "a", "an", "the", "at", "by", "for", "from", "in", "into", "of", "off", "on", "onto", "out", "over", "to", "up", "with", "and",
+    "but", "or", "nor", "so", "yet", "am", "are", "be", "been", "being", "did", "do", "does", "doing", "done", "had", "has", "have",
+    "having", "is", "it", "its", "was", "were", "he", "her", "him", "his", "i", "me", "my", "she", "that", "them", "they", "this",
+    "us", "we", "what", "which", "who", "you", "your", "as", "if", "not", "no", "yes", "all", "any", "can", "will", "just", "than",
+    "then", "too", "very",
+)
+#: A token in lower-case text: from the first to the last word character between spaces.
+TOKEN = f"[{WORD}](?:[^{SPACES}]*[{WORD}])?"
+#: What stands before the token of its part of the text.
+BEFORE = f"(?:^|[{SPACES}])[^{WORD}{SPACES}]*"
 
 
 def tokenize(text: str) -> list[str]:
@@ -27,22 +34,17 @@ def tokenize(text: str) -> list[str]:
 
 def tokens(text: Column, stop_words: bool = False) -> Column:
     """Lower-case tokens without outer marks; null for null."""
-    split = F.transform(F.split(F.lower(text), f"[{SPACES}]+"), lambda t: F.regexp_replace(t, rf"^[^{WORD}]+|[^{WORD}]+\z", ""))
-    out = F.filter(split, lambda t: t != "")
-    return F.filter(out, lambda t: ~t.isin(STOP_WORDS)) if stop_words else out
+    out = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"))
+    return F.filter(out, lambda t: ~t.isin(*STOP_WORDS)) if stop_words else out
 
 
-def _begins(q: str):
-    return lambda t: t.startswith(q)
+def _quoted(q: str) -> str:
+    return re.sub(r"([^\w])", r"\\\1", q, flags=re.ASCII) if q.isascii() else "".join("\\" + c if c.isascii() and not (c.isalnum() or c == "_") else c for c in q)
 
 
-def _equals(q: str):
-    return lambda t: t == q
-
-
-def _once(value: Column, f) -> Column:
-    """f(value), with the value computed once a row."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+def _has(low: Column, q: str) -> Column:
+    """Does a token of the lower-case text begin with q? The plain search first: it is cheap, and rules most texts out."""
+    return low.contains(q) & low.rlike(BEFORE + _quoted(q))
 
 
 def matches(text: Column, query: str) -> Column:
@@ -50,7 +52,9 @@ def matches(text: Column, query: str) -> Column:
     wanted = tokenize(query)
     if not wanted:
         return F.lit(True)
-    return F.coalesce(_once(tokens(text), lambda t: reduce(Column.__and__, [F.exists(t, _begins(q)) for q in wanted])), F.lit(True))
+    low = F.lower(text)
+    every = [low.contains(q) for q in dict.fromkeys(wanted)] + [low.rlike(BEFORE + _quoted(q)) for q in dict.fromkeys(wanted)]
+    return F.coalesce(reduce(Column.__and__, every), F.lit(True))
 
 
 def matches_any(texts: list[Column], query: str) -> Column:
@@ -60,8 +64,7 @@ def matches_any(texts: list[Column], query: str) -> Column:
         return F.lit(True)
     if not texts:
         return F.lit(False)
-    every = F.flatten(F.array(*[F.coalesce(tokens(t), F.array().cast("array<string>")) for t in texts]))
-    return _once(every, lambda t: reduce(Column.__and__, [F.exists(t, _begins(q)) for q in wanted]))
+    return reduce(Column.__and__, [reduce(Column.__or__, [F.coalesce(_has(F.lower(t), q), F.lit(False)) for t in texts]) for q in dict.fromkeys(wanted)])
 
 
 def score(text: Column, query: str) -> Column:
@@ -70,26 +73,41 @@ def score(text: Column, query: str) -> Column:
     wanted = tokenize(query)
     if not wanted:
         return F.lit(0.0)
-
-    def of(t: Column) -> Column:
-        length = F.size(t).cast("double")
-        hits, frequency = F.lit(0.0), F.lit(0.0)
-        for q in wanted:
-            exact = F.size(F.filter(t, _equals(q))).cast("double")
-            prefix = F.size(F.filter(t, _begins(q))).cast("double")
-            hits = hits + F.when(prefix > 0, 1.0).otherwise(0.0)
-            frequency = frequency + exact + (prefix - exact) * 0.5
-        return F.when((length > 0) & (hits > 0), hits / float(len(wanted)) * (1.0 + frequency / length) / F.log1p(length)).otherwise(0.0)
-
-    return F.coalesce(_once(tokens(text), of), F.lit(0.0))
+    low = F.lower(text)
+    count = lambda pattern: F.regexp_count(low, F.lit(pattern)).cast("double")
+    length = count(TOKEN)
+    hits, frequency = F.lit(0.0), F.lit(0.0)
+    for q in wanted:
+        exact = count(f"{BEFORE}{_quoted(q)}[^{WORD}{SPACES}]*(?=[{SPACES}]|$)")
+        prefix = count(BEFORE + _quoted(q))
+        hits = hits + F.when(prefix > 0, 1.0).otherwise(0.0)
+        frequency = frequency + exact + (prefix - exact) * 0.5
+    return F.coalesce(F.when((length > 0) & (hits > 0), hits / float(len(wanted)) * (1.0 + frequency / length) / F.log1p(length)), F.lit(0.0))
 
 
 def token_table(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(token, id) of the fields, once each: an index to be written and looked up by token."""
-    every = F.flatten(F.array(*[F.coalesce(tokens(F.col(f)), F.array().cast("array<string>")) for f in fields]))
+    every = F.flatten(F.array(*[F.coalesce(tokens(F.col(f"`{f}`")), F.array().cast("array<string>")) for f in fields]))
     return df.select(F.col(id_col), F.explode(F.array_distinct(every)).alias("token"))
 
 
+def eligible(condition: Mapping | None, indexed: Sequence[str]) -> tuple[str, list[str]] | None:
+    """(query, fields) of a condition whose search an index over these fields can answer, or None: a search over some of the
+    indexed fields, or on one of them, at the top of the condition."""
+    if not condition or not indexed:
+        return None
+    asked = condition.get("$search")
+    if isinstance(asked, Mapping):
+        fields = list(asked.get("fields") or ())
+        if fields and set(fields) <= set(indexed) and tokenize(asked.get("query", "")):
+            return asked["query"], fields
+    for f in indexed:
+        x = condition.get(f)
+        if isinstance(x, Mapping) and isinstance(x.get("$search"), str) and tokenize(x["$search"]):
+            return x["$search"], [f]
+    return None
+
+
 def lookup(table: DataFrame, id_col: str, query: str) -> DataFrame:
     """Ids of rows that have all tokens of the query, by prefix; one sum over the few tokens that fit."""
     wanted = tokenize(query)

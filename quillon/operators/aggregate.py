@@ -45,7 +45,7 @@ def expressions(df: DataFrame, spec: Mapping) -> list[Column]:
 
 def aggregate(df: DataFrame, spec: Mapping) -> DataFrame:
     """count, sum, avg, min, max and groupBy of a spec. Nulls form a group. ``preserveOrder`` sorts groups by first row, by
-    the column ``_ord``, which must be there then. Columns are named count, sum_<path>, ...; groups by their paths."""
+    the column ``_ord``, or, without one, in the order of the scan. Columns are named count, sum_<path>, ...; groups by their paths."""
     if "groupBy" not in spec or spec["groupBy"] is None:
         exprs = expressions(df, spec)
         if not exprs:
@@ -54,6 +54,7 @@ def aggregate(df: DataFrame, spec: Mapping) -> DataFrame:
     keys = [_any(df, f).alias(f) for f in _fields(spec["groupBy"])]
     exprs = expressions(df, spec)
     if spec.get("preserveOrder"):
+        df = df if "_ord" in df.columns else df.withColumn("_ord", F.monotonically_increasing_id())
         return df.groupBy(*keys).agg(*exprs, F.min("_ord").alias("_ord")).orderBy("_ord").drop("_ord")
     if not keys:
         return df.groupBy(F.lit(0).alias("_all")).agg(*exprs).drop("_all")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, NumericType, StringType, StructType
 
 from quillon.errors import ValidationError
+from quillon.functions import paths
 
 OPERATORS = ("$increment", "$decrement", "$multiply", "$append", "$prepend", "$remove", "$toggle", "$set")
 IMMUTABLE = ("createdAt",)
@@ -40,6 +41,8 @@ def apply(col: Column, kind: DataType, value) -> Column:
         fields = [(apply(col.getField(f.name), f.dataType, value[f.name]) if f.name in value else col.getField(f.name)).alias(f.name) for f in kind]
         return F.struct(*fields)
     x = value[op]
+    if isinstance(x, Column) and op in ("$append", "$prepend") and isinstance(kind, ArrayType):
+        return F.concat(col, x) if op == "$append" else F.concat(x, col)
     if op == "$set":
         return literal(x, kind)
     if op == "$toggle":
@@ -59,15 +62,48 @@ def apply(col: Column, kind: DataType, value) -> Column:
     return col
 
 
+def form(schema: StructType, path: str, value) -> str:
+    """How a value changes a field: "" sets it, an operator's name applies it to the field, and "=..." is a change that is the same
+    for equal texts only (a merge of objects, or a function)."""
+    if not isinstance(value, Mapping):
+        return ""
+    op = next((o for o in OPERATORS if o in value), None)
+    if op is None or callable(value[op]) or path not in schema.names:
+        return f"={value!r}"
+    return op
+
+
+def operand(value, op: str):
+    """What an operator (or "") is applied with; of an array, the elements to add as a list."""
+    if not op:
+        return value
+    x = value[op]
+    return x
+
+
+def operand_type(schema: StructType, path: str, op: str) -> DataType:
+    if path not in schema.names:
+        return StringType()
+    kind = schema[path].dataType
+    if isinstance(kind, ArrayType) and op == "$remove":
+        return kind.elementType
+    return BooleanType() if op == "$toggle" else kind
+
+
 def expressions(schema: StructType, changes: Mapping, id_field: str = "id") -> dict[str, Column]:
-    """New values by column, of the columns that the changes name and the schema has."""
+    """New values by column, of the columns that the changes name and the schema has; a dot path names a field of a struct."""
     fixed = [c for c in (id_field, *IMMUTABLE) if c in changes]
     if fixed:
         raise ValidationError(f"{', '.join(fixed)} can't be changed", issues=[{"field": c, "message": "immutable"} for c in fixed])
     out = {}
     for path, value in changes.items():
+        head, _, rest = path.partition(".")
         if path in schema.names:
-            out[path] = apply(F.col(f"`{path}`"), schema[path].dataType, value)
+            out[path] = apply(out.get(path, F.col(f"`{path}`")), schema[path].dataType, value)
+        elif rest and head in schema.names:
+            if (found := paths.resolve(schema, path)) is None or not isinstance(schema[head].dataType, StructType):
+                raise ValidationError(f"no field {path}", issues=[{"field": path, "message": "unknown"}])
+            out[head] = out.get(head, F.col(f"`{head}`")).withField(rest, apply(*found, value))
     if "updatedAt" in schema.names and "updatedAt" not in out:
         out["updatedAt"] = now().cast(schema["updatedAt"].dataType)
     return out

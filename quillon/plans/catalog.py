@@ -15,7 +15,6 @@ from quillon.migrate import run as migrate
 from quillon.operators import aggregate, constraints, order, populate, predicate, updates
 from quillon.plans import query as plans
 from quillon.sources import files
-from quillon.sources.codecs import prose_codec
 from quillon.spec import CollectionSpec, Relationship
 from quillon.store import work_dir
 from quillon.streaming.watch import watch
@@ -244,36 +243,8 @@ _query("search_with_filter", "documents", f"SELECT doc_id, lang FROM documents W
 _register("search_token_index", f"SELECT doc_id FROM documents WHERE {_has(_TOKENS, 'the', 'wh')}", lambda t: search.lookup(search.token_table(t["documents"], "doc_id", ["text"]), "doc_id", "the wh"))
 _register("search_stop_words", f"SELECT doc_id, CAST(len(list_filter({_TOKENS}, lambda t: t NOT IN ({', '.join(repr(w) for w in search.STOP_WORDS)}))) AS BIGINT) AS n FROM documents", lambda t: t["documents"].select("doc_id", F.size(search.tokens(F.col("text"), stop_words=True)).cast("bigint").alias("n")))
 
-# changes, as the next snapshot
+# changes: see also catalog_engine
 
-_CUST = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
-
-
-def _changed(df: DataFrame, where: dict, changes: dict, ident: str) -> DataFrame:
-    hit = predicate.where(df.schema, where)
-    return df.withColumns({c: F.when(hit, v).otherwise(F.col(c)).cast(df.schema[c].dataType) for c, v in updates.expressions(df.schema, changes, ident).items()})
-
-
-_register("dml_create", "SELECT * FROM region UNION ALL SELECT CAST(99 AS INTEGER), 'NOWHERE'", lambda t: t["region"].unionByName(t.spark.createDataFrame([(99, "NOWHERE")], t["region"].schema)))
-_register("dml_create_skip_duplicates", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT c.k, c.n FROM (SELECT CAST(n_nationkey + 20 AS INTEGER) AS k, n_name AS n FROM nation) c WHERE c.k NOT IN (SELECT n_nationkey FROM nation)", lambda t: t["nation"].select("n_nationkey", "n_name").unionByName(t["nation"].select((F.col("n_nationkey") + 20).alias("n_nationkey"), "n_name").join(t["nation"].select("n_nationkey"), "n_nationkey", "left_anti")))
-_register("dml_update_ops", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name || '!' ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer", lambda t: _changed(t["customer"], {"c_mktsegment": "BUILDING"}, {"c_name": {"$append": "!"}, "c_acctbal": {"$multiply": 2}, "c_nationkey": {"$append": "x"}}, "c_custkey").select(*_CUST))
-_register("dml_update_many", "SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders", lambda t: _changed(t["orders"], {"o_totalprice": {"$lt": 1000}}, {"o_orderstatus": {"$set": "X"}}, "o_orderkey").select("o_orderkey", "o_orderstatus"))
-_register("dml_delete", "SELECT o_orderkey FROM orders WHERE NOT o_orderstatus = 'F'", lambda t: t["orders"].where(~predicate.where(t["orders"].schema, {"o_orderstatus": "F"})).select("o_orderkey"))
-_register("dml_delete_soft", "SELECT c_custkey, c_acctbal < 0 AS deleted FROM customer", lambda t: t["customer"].select("c_custkey", F.when(predicate.where(t["customer"].schema, {"c_acctbal": {"$lt": 0}}), updates.now()).isNotNull().alias("deleted")))
-_register("dml_delete_many_limit", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 100)", lambda t: t["orders"].join(t["orders"].where("o_orderstatus = 'P'").orderBy("o_orderkey").limit(100).select("o_orderkey"), "o_orderkey", "left_anti").select("o_orderkey"))
-
-
-def _upsert(t: Tables) -> DataFrame:
-    stored = t["nation"].select("n_nationkey", "n_name")
-    new = stored.select((F.col("n_nationkey") + 15).alias("n_nationkey"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("NEW").alias("new_name"))
-    both = stored.join(new, "n_nationkey", "full")
-    action = F.when(F.col("new_name").isNull(), "stored").when(F.col("n_name").isNull(), "created").when(F.col("n_name") == F.col("new_name"), "unchanged").otherwise("updated")
-    return both.select("n_nationkey", F.coalesce("new_name", "n_name").alias("n_name"), action.alias("action"))
-
-
-_register("dml_upsert", "SELECT coalesce(s.n_nationkey, n.k) AS n_nationkey, coalesce(n.v, s.n_name) AS n_name, CASE WHEN n.v IS NULL THEN 'stored' WHEN s.n_name IS NULL THEN 'created' WHEN s.n_name = n.v THEN 'unchanged' ELSE 'updated' END AS action FROM nation s FULL JOIN (SELECT n_nationkey + 15 AS k, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'NEW' END AS v FROM nation) n ON s.n_nationkey = n.k", _upsert)
-_register("dml_cascade", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')", lambda t: t["lineitem"].join(t["orders"].where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber", "l_partkey"))
-_register("dml_set_null", "SELECT o_orderkey, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN o_custkey END AS o_custkey FROM orders", lambda t: t["orders"].join(t["customer"].where("c_acctbal < 0").select(F.col("c_custkey").alias("gone")), F.col("o_custkey") == F.col("gone"), "left").select("o_orderkey", F.when(F.col("gone").isNull(), F.col("o_custkey")).alias("o_custkey")))
 _register("changed_fields", "SELECT c_custkey, c_acctbal < 0 AS acctbal, c_mktsegment <> 'BUILDING' AS segment FROM customer", lambda t: t["customer"].select("c_custkey", updates.changed_fields({"c_acctbal": F.col("c_acctbal"), "c_mktsegment": F.col("c_mktsegment")}, {"c_acctbal": F.greatest("c_acctbal", F.lit(0.0)), "c_mktsegment": F.lit("BUILDING")}).alias("f")).select("c_custkey", F.array_contains("f", "c_acctbal").alias("acctbal"), F.array_contains("f", "c_mktsegment").alias("segment")))
 
 # constraints
@@ -303,13 +274,6 @@ _register("yaml_roundtrip", "SELECT * FROM region", _through("region", "yaml", "
 _register("toml_null_strip", "SELECT n_nationkey, NULLIF(n_name, 'CHINA') AS n_name FROM nation", _through("nation", "toml", "n_nationkey", lambda df: df.select("n_nationkey", F.when(F.col("n_name") != "CHINA", F.col("n_name")).alias("n_name"))))
 
 
-def _prose(t: Tables) -> DataFrame:
-    codec = prose_codec('{n_nationkey}: "{n_name}" in region {n_regionkey}.')
-    rows = codec.decode(codec.encode([r.asDict() for r in t["nation"].collect()]))  # a small table, as a text
-    return t.spark.createDataFrame([(r["n_nationkey"], r["n_name"], r["n_regionkey"]) for r in rows], t["nation"].schema)
-
-
-_register("prose_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation", _prose)
 _CHAIN = (
     Migration(0, 1, lambda df: df.withColumn("rich", F.col("c_acctbal") > 5000)),
     Migration(1, 2, lambda df: df.withColumn("c_name", F.lower("c_name")).drop("c_mktsegment")),
@@ -345,6 +309,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("flagship", "SELECT o_orderkey, o_totalprice, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') AND o_totalprice >= 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100", lambda t: flagship(t.spark, t.sf_dir))
 
 
+from quillon.plans import catalog_engine as _engine  # noqa: E402, F401  registers its queries
+
+
 def queries() -> dict[str, Callable]:
     return dict(_QUERIES)
 

@@ -28,11 +28,14 @@ def wanted_relations(spec: CollectionSpec, query: Mapping) -> dict:
     return out
 
 
-def rows(name: str, query: Mapping, specs: Mapping[str, CollectionSpec], frames: Mapping[str, DataFrame], custom=None, on_dangling: str = "error") -> DataFrame:
+def rows(name: str, query: Mapping, specs: Mapping[str, CollectionSpec], frames: Mapping[str, DataFrame], custom=None, on_dangling: str = "error", search_table=None) -> DataFrame:
     """The filtered and scored rows, before order, page and select."""
     spec, df = specs[name], frames[name]
     condition = query.get("where")
     predicate.check(condition)
+    if search_table is not None and (asked := search.eligible(condition, spec.search_index)) and (table := search_table(name)) is not None:
+        # rows that have the query's tokens in some indexed field; the condition itself still decides
+        df = df.join(search.lookup(table, spec.id_field, asked[0]), spec.id_field, "left_semi").select(*df.columns)
     df = populate.populate(df, name, wanted_relations(spec, query), specs, frames, on_dangling)
     df = projection.computed(df, spec.computed)
     df = populate.where(df, name, condition, specs, frames, custom)
@@ -47,9 +50,9 @@ def rows(name: str, query: Mapping, specs: Mapping[str, CollectionSpec], frames:
     return df
 
 
-def run(name: str, query: Mapping, specs: Mapping[str, CollectionSpec], frames: Mapping[str, DataFrame], custom=None, on_dangling: str = "error") -> DataFrame | order.Page:
+def run(name: str, query: Mapping, specs: Mapping[str, CollectionSpec], frames: Mapping[str, DataFrame], custom=None, on_dangling: str = "error", search_table=None) -> DataFrame | order.Page:
     """A DataFrame, or a page if the query has a cursor."""
-    df, ident = rows(name, query, specs, frames, custom, on_dangling), specs[name].id_field
+    df, ident = rows(name, query, specs, frames, custom, on_dangling, search_table), specs[name].id_field
     by = query.get("sort")
     if query.get("cursor"):
         page = order.cursor_page(df, query["cursor"], by, query.get("cursorMode", "typed"), ident)

@@ -34,6 +34,9 @@ class CollectionSpec:
     append_only: bool = False
     file: str | None = None
     format: str | None = None
+    #: of prose files: the headline, and the lines below it
+    template: str | None = None
+    overflow: tuple = ()
 
 
 def singular(name: str) -> str:

@@ -65,7 +65,7 @@ def test_create(db):
     with pytest.raises(E.UniqueConstraintError):
         db["authors"].create({"id": "a3", "name": "Ann"})
     got = books.create_many([{"id": "c1", "title": "x"}, {"id": "c1", "title": "y"}, {"id": "b2", "title": "z"}, {"id": "c2", "title": "w", "authorId": "zz"}, {"id": "c3"}], skip_duplicates=True)
-    assert ids(got.created) == ["c1"] and sorted((s["id"], s["reason"]) for s in got.skipped) == [("b2", "duplicate id"), ("c1", "duplicate id"), ("c2", "foreign key"), ("c3", "validation")]
+    assert ids(got.created) == ["c1"] and sorted((s["id"], s["reason"]) for s in got.skipped.collect()) == [("b2", "duplicate id"), ("c1", "duplicate id"), ("c2", "foreign key"), ("c3", "validation")]
     assert books.frame.count() == 5
 
 
