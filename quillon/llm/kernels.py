@@ -34,12 +34,15 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; only where that is unset, below a temporary one."""
+    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset, below a temporary one, if all
+    executors run on this machine."""
     import tempfile
     import uuid
 
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         top = f"{tempfile.gettempdir()}/quillon-checkpoints"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from quillon.llm import oracles
 from quillon.llm.decontamination import op1_decontamination
 from quillon.llm.html_extraction import op10_html_extraction
 from quillon.llm.language_id import op6_language_id
@@ -21,4 +22,5 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of three; the others need a model, a vocabulary, an iteration or a parser, and are tested against brute force."""
+    return dict(oracles.ALL)
