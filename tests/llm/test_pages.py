@@ -15,6 +15,12 @@ PAGES = [
     ("<p>no <i>article</i></p><div class=\"ad banner\">buy</div><div role=navigation>m</div><p hidden>h</p><table><tr><td>c1</td><td>c2</td></tr></table>", ["no article", "c1", "c2"]),
     ("<article>unclosed <b>bold <p>next &lt;tag&gt; &am", ["unclosed bold", "next <tag> &am"]),
     ("<article><p title='a > b'>q</p></article", ["q"]),
+    ('<div class="page has-sidebar"><article><p>text</p></article><div class="sidebar">s</div></div>', ["text"]),
+    ("<body class='comments-open'><article class='post no-sidebar'><p>text</p><div class='comments-area'><article><p>reader</p></article></div></article>", ["text"]),
+    ("<div class='header-wrap'><main><p>a</p></main></div><div class='widget'><article>teaser</article></div>", ["a"]),
+    ("<div class=content><p>one two three four five six seven eight</p></div><article>t1</article><article>t2</article><article>t3</article>", ["one two three four five six seven eight"]),
+    ("<article>a b c</article><article>d e</article><p>more</p>", ["a b c", "d e"]),
+    ("<div>" * 30000 + "<p>deep</p>" + "</div></span>" * 30000 + "<p>after</p>", ["deep", "after"]),
 ]
 
 
@@ -40,6 +46,11 @@ def test_repeated_runs_are_boilerplate_only_outside_articles(spark):
     for i in range(3):
         assert got[10 + i].text == f"{shared}\n\n{unique(10 + i)}" and got[20 + i].text == unique(99)
     assert got[30].text == notice and got[31].text == "" and all(r.n_chars == len(r.text) for r in got.values())
+    short = [(40 + i, "http://short.org/", f"<p>Yes.</p><p>{unique(50 + i)}</p>") for i in range(3)]
+    menu = "".join(f"<div>item{i} of</div>" for i in range(9))  # blocks of two words, which the host's pages repeat as one run
+    short += [(50 + i, "http://menu.org/", f"{menu}<p>{unique(60 + i)}</p>") for i in range(3)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(short, "page_id long, url string, html string")).collect()}
+    assert all(got[40 + i] == f"Yes.\n\n{unique(50 + i)}" and got[50 + i] == unique(60 + i) for i in range(3))
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
