@@ -301,16 +301,17 @@ def members(docs: DataFrame, chosen: DataFrame, n: int, lengths: Lengths) -> Dat
 
 
 def keys(parts: DataFrame, lengths: Lengths) -> DataFrame:
-    """key, set_id, n: for each set the rarest n-grams of its head, as far as another set has them in its head."""
+    """key, set_id, n, odd (how rare the set's n-grams are): for each set the rarest n-grams of its head, as far as another set
+    has them in its head."""
     grams = parts.where("head > 0").select("set_id", "n", F.explode(F.slice("items", 1, F.col("head"))).alias("gram"))
     df = K.written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
     by_set = grams.join(df, "gram").groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
     o = f"((n * {lengths.percent} + 99) div 100)"
     # of |head| - (1 + 2 * o div 5) + 1 places, those that only this set has come first, |head| - size(grams) of them
     most = F.expr(f"cast(size(grams) - 2 * {o} div 5 as int)")
-    o_n = f"least(n - {o} + 1 + 2 * n div 5, n)"
-    rare = F.aggregate("grams", F.lit(0.0), lambda s, x: s + 1.0 / x["df"]) + F.expr(f"{o_n} - size(grams)")
-    return by_set.where(most > 0).select("set_id", "n", rare.alias("odd"), F.explode(F.slice("grams", F.lit(1), most)).alias("x")).select(F.col("x.gram").alias("key"), "set_id", "n", "odd")
+    rare = F.aggregate("grams", F.lit(0.0), lambda s, x: s + 1.0 / x["df"]) + F.expr(f"least(n - {o} + 1 + 2 * n div 5, n) - size(grams)")
+    cut = by_set.where(most > 0).select("set_id", "n", rare.alias("odd"), F.slice("grams", F.lit(1), most).alias("grams"))  # before rows are made of them
+    return cut.select("set_id", "n", "odd", F.explode("grams").alias("x")).select(F.col("x.gram").alias("key"), "set_id", "n", "odd")
 
 
 def close(a: str, b: str, percent: int):
@@ -359,7 +360,8 @@ def cross_pairs(key_rows: DataFrame, comps: DataFrame, parts: DataFrame, percent
     """a, b: pairs of sets with a key in common, in different components (node, component), that may link by sizes and bits; all
     of these, or (forest) of each key as many as connect what all would, the closest by bits first."""
     own = key_rows.join(comps.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("key", "set_id", "n", F.coalesce("component", "set_id").alias("comp"))
-    open_keys = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
+    open_keys = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("set_id")).alias("same")).where("x <> y")
+    open_keys = open_keys.groupBy("x", "y", "k", "same").agg(F.min("key").alias("key"))  # of keys that the same sets have, one
     rows = own.join(open_keys.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "key")
     bits = parts.where("part = -1").select("set_id", F.col("items").alias("bits"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).join(bits, "set_id")
