@@ -21,7 +21,7 @@ from quillon.functions import ids, search
 from quillon.operators import aggregate, constraints, predicate, projection, updates
 from quillon.plans import query as plans
 from quillon.plugins import Registry
-from quillon.spec import CollectionSpec, foreign_key
+from quillon.spec import CollectionSpec, foreign_key, indexed_columns
 from quillon.store import Store
 
 
@@ -541,7 +541,7 @@ class Database:
         return self.store.write("_work", df)[0]
 
     def publish(self, name: str, df: DataFrame, *events: tuple[str, DataFrame]) -> None:
-        frame, path = self.store.write(name, df)
+        frame, path = self.store.write(name, df, indexed_columns(self.specs[name]))
         self._commit({name: (frame, path)}, {name: events})
 
     def take(self, name: str, frame: DataFrame, path: str) -> None:
@@ -672,7 +672,7 @@ class Transaction(Database):
     def publish(self, name: str, df: DataFrame, *events: tuple[str, DataFrame]) -> None:
         if self.closed:
             raise TransactionError("the transaction is closed", operation="write")
-        self.written[name] = self.store.write(name, df)
+        self.written[name] = self.store.write(name, df, indexed_columns(self.specs[name]))
         self.frames[name] = self.written[name][0]
         self.events.setdefault(name, []).extend(events)
         self._search.pop(name, None)

@@ -70,7 +70,31 @@ def _outcome(f: Callable) -> str:
 
 _register("find_by_id", "SELECT * FROM nation WHERE n_nationkey = 7", lambda t: t.spark.createDataFrame([_db(t, "nation")["nation"].find_by_id(7)], t["nation"].schema))
 _register("find_by_id_missing", "SELECT 'NotFoundError' AS tag", lambda t: _rows(t, [(_outcome(lambda: _db(t, "nation")["nation"].find_by_id(-1)),)], "tag string"))
-_register("index_equality_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_orderstatus IN ('F', 'O')", lambda t: _db(t, "orders", orders={"indexes": (("o_custkey", "o_orderstatus"),)})["orders"].query(where={"o_custkey": 7, "o_orderstatus": {"$in": ["F", "O"]}}, select=["o_orderkey", "o_totalprice"]))
+
+
+def _index_scan(t: Tables) -> DataFrame:
+    """Versions of a collection have Bloom filters on its indexed columns, which scans for values use."""
+    db = _db(t, "orders", orders={"indexes": ("o_orderpriority", ("o_custkey", "o_orderstatus"))})
+    db["orders"].delete_many({"o_orderkey": 1})  # a change makes a version
+    return db["orders"].query(where={"o_custkey": 7, "o_orderstatus": {"$in": ["F", "O"]}}, select=["o_orderkey", "o_totalprice"])
+
+
+_register("index_equality_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_orderstatus IN ('F', 'O') AND o_orderkey <> 1", _index_scan)
+
+
+def _state(t: Tables) -> DataFrame:
+    """Rows of a collection got, set, changed and removed by id; folders that no late commit names are deleted."""
+    db = _db(t, "region")
+    c = db["region"]
+    c.create({"r_regionkey": 50, "r_name": "set"})
+    c.update(50, {"r_name": {"$append": " again"}})
+    got = c.find_by_id(50).r_name
+    c.delete(50)
+    gone = _outcome(lambda: c.find_by_id(50))
+    return _rows(t, [(got, gone, c.query().count(), db.store.vacuum(keep=1))], "got string, gone string, n long, folders int")
+
+
+_register("state_operations", "SELECT 'set again' AS got, 'NotFoundError' AS gone, CAST(count(*) AS BIGINT) AS n, 2 AS folders FROM region", _state)
 _register("in_memory_source", "SELECT id, CAST(n AS DOUBLE) AS n FROM (VALUES ('a', 3.0), ('b', 2.0)) v(id, n)", lambda t: Database(t.spark, {"x": CollectionSpec(_parse_datatype_string("id string, n double"))}, {"x": [{"id": "a", "n": 1.0}, {"id": "b", "n": 2.0}, {"id": "a", "n": 3.0}]})["x"].query())
 
 

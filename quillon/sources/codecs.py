@@ -137,9 +137,3 @@ class Codecs:
 def prose_codec(template: str, overflow=()) -> Codec:
     """Sentences by a template; see ``prose``."""
     return Codec("prose", ("prose",), lambda rows: prose.encode(rows, template, overflow), prose.decode)
-
-
-def inferred(specs: Mapping) -> tuple[Codec, ...]:
-    """The codecs that the files of a configuration need."""
-    exts = {(s.format or s.file or "").rsplit(".", 1)[-1].lower() for s in specs.values() if s.file or s.format}
-    return tuple(c for c in ALL if exts.intersection(c.extensions))

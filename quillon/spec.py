@@ -39,6 +39,11 @@ class CollectionSpec:
     overflow: tuple = ()
 
 
+def indexed_columns(spec: CollectionSpec) -> list[str]:
+    """Columns of the spec's indexes, single or compound."""
+    return list(dict.fromkeys(c for i in spec.indexes for c in ((i,) if isinstance(i, str) else i) if c in spec.schema.names))
+
+
 def singular(name: str) -> str:
     return name[:-3] + "y" if name.endswith("ies") else name[:-1] if name.endswith("s") else name
 
