@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontamination, ngram_join, quality_classifier, quality_rules, sentencepiece_fst
-from quillon.llm.kernels import shared_dir
+from quillon.llm.kernels import shared_dir, written
 
 KEY = "_text_key"
 WORDS, PERCENT = 5, 80  # of near copies; those of op5 (3, 90) are its own
@@ -55,10 +55,16 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by WORDS-word shingles, PERCENT / 100 alike or more, the one with the smallest id stays; documents without words stay."""
-    groups = ngram_join.join(docs.select("doc_id", "text"), n=WORDS, percent=PERCENT)
+    """Of each group of documents linked by WORDS-word shingles, PERCENT / 100 alike or more, the one with the smallest id stays, with one
+    of its rows; documents without words stay, as do rows without an id."""
+    groups = written(ngram_join.join(docs.select("doc_id", "text"), n=WORDS, percent=PERCENT), "groups")
     copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
+    kept = docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
+    twice = groups.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    if twice.isEmpty():
+        return kept
+    again = kept["doc_id"] == twice["_id"]
+    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +75,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, and round_trip: the ids decode to the text."""
+    """doc_id, ids, n_tokens, and round_trip (the ids decode to the text) of each row; a null text has no ids, and repeated rows keep
+    one row each."""
     import public_tokenizers
 
     return sentencepiece_fst.encoded(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
