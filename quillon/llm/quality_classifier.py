@@ -190,7 +190,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     paths = K.written(one.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_n"), F.sum("evidence").alias("_s")), "paths")
     hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_hn"), F.sum("_s").alias("_hs"))
-    mean, strength = _moments(hosts.select(F.lit(0).alias("group"), F.col("_hn").alias("n"), F.col("_hs").alias("s")))
+    mean, strength = _moments(hosts.select(F.col("_hn").alias("n"), F.col("_hs").alias("s")))
     _, strength_path = _moments(paths.select(F.col("_host").alias("group"), F.col("_n").alias("n"), F.col("_s").alias("s")))
     sites = paths.join(hosts, "_host").select("_path", "_n", "_s", "_hn", "_hs")
     own = F.col("evidence")
@@ -202,10 +202,15 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 
 def _moments(sites: DataFrame) -> tuple[float, float]:
-    """Global mean, and the strength of the prior in documents, of sites (group, n, s) within their groups."""
-    group = sites.groupBy("group").agg(F.sum("n").alias("gn"), F.sum("s").alias("gs"))
+    """Global mean, and the strength of the prior in documents, of sites (n, s, and group, unless they are all of one) within their groups."""
+    if "group" in sites.columns:
+        total = sites.groupBy("group").agg(F.sum("n").alias("gn"), F.sum("s").alias("gs"))
+        sites = sites.join(total, "group")
+    else:
+        whole = sites.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+        sites = sites.select("n", "s", F.lit(0).alias("group"), F.lit(whole.n).alias("gn"), F.lit(whole.s).alias("gs"))
     m = F.col("gs") / F.col("gn")
-    r = sites.join(group, "group").agg(
+    r = sites.agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("k"), F.countDistinct("group").alias("g"),
         F.sum(F.col("n") * (F.col("s") / F.col("n") - m) ** 2).alias("between"), F.sum(F.col("n") * m * (1 - m)).alias("within"), F.sum(F.col("n") ** 2 / F.col("gn")).alias("n2"),
     ).first()

@@ -50,7 +50,7 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """pages (host, path and others) with rule and rule_verdict. Up to MOST_IN_PLAN rules are conditions in the plan; more are joined by the suffixes of the host."""
     best = lambda conds: F.greatest(*conds, F.lit(None).cast("struct<n:int,rule:string,verdict:string>"))
     as_struct = lambda n, rule, verdict: F.struct(n.cast("int").alias("n"), rule.alias("rule"), verdict.alias("verdict"))
-    if not rules:
+    if not rules:  # nothing fits
         return pages.withColumns({"rule": F.lit(None).cast("string"), "rule_verdict": F.lit(None).cast("string")})
     if len(rules) <= MOST_IN_PLAN:
         fits = [F.when(((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p), as_struct(F.lit(len(h + p)), F.lit(h + p), F.lit(v))) for h, p, v in rules]
@@ -73,8 +73,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return out.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = 12) -> DataFrame:
-    """host, rank: the seeds' weights plus what flows in, damped, after so many rounds (None: converged). edges: src, dst, n; seeds: host, weight."""
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
+    """host, rank: the seeds' weights plus what flows in, damped, until no rank changes by TOLERANCE (or after so many rounds). edges: src, dst, n; seeds: host, weight."""
     out_n = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = written(edges.join(out_n, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "edges")
     start = seeds.select("host", F.col("weight").alias("rank"))
@@ -96,7 +96,7 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
     return rank
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = 0.85, rounds: int | None = 12, threshold: float = 0.1) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = 0.85, rounds: int | None = None, threshold: float = 0.1) -> DataFrame:
     """pages (url, html and others) with host, path, rule, trust, distrust and verdict; rounds as in personalised_pagerank."""
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "trust", "distrust", "verdict")]
     p = ruled(pages.select(*own).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}), rules)
@@ -118,4 +118,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float =
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return judge(pages, RULES, rounds=None).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    return judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")

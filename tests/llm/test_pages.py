@@ -82,7 +82,7 @@ def test_distrust_flows_against_links_and_trust_along_them(spark):
         total, out = {}, dict(seeds)
         for (a, _), n in edges.items():
             total[a] = total.get(a, 0) + n
-        for _ in range(12):
+        for _ in range(400):
             new = dict(seeds)
             for (a, b), n in edges.items():
                 new[b] = new.get(b, 0) + 0.85 * out.get(a, 0) * n / total[a]

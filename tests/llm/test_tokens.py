@@ -153,3 +153,18 @@ def test_orc_files(spark, tmp_path):
     empty = f"file://{tmp_path}/empty"
     token_output.write_tokens(docs.limit(0), empty, WORDS, 2, shards=2)
     assert token_output.summaries(spark, empty).count() == 0
+
+
+def test_orc_files_have_indexes_and_filters_that_prune(spark, tmp_path):
+    docs = spark.range(40_000).selectExpr("id * 2 AS doc_id", "'a b' AS text")
+    path = f"file://{tmp_path}/ids"
+    token_output.write_tokens(docs, path, WORDS, 2, shards=2)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for f in (tmp_path / "ids").glob("*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        index = reader.rows().readRowIndex(0, None, None)
+        assert len(index.getRowGroupIndex()[2].getEntryList()) == 2  # of doc_id: 20,000 rows in groups of 10,000
+        assert index.getBloomFilterIndex()[2] is not None and index.getBloomFilterIndex()[4] is None
+    some = token_output.read_tokens(spark, path, [100, 101, 70_000])
+    assert sorted(r.doc_id for r in some.collect()) == [100, 70_000]
+    assert "doc_id" in some._jdf.queryExecution().toString().split("PushedFilters:")[1].split("]")[0]
