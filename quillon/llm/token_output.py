@@ -35,7 +35,7 @@ from quillon.llm.kernels import Memory, bounded_batches, shared_dir, worker
 
 #: A control character; its id stands for no other text.
 MARK = "\x01"
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 22
 # The normalizer and the splitting pattern of vocabularies whose pieces end at white space and at marks.
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -67,7 +67,10 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_runs = splits_at_spaces(json.load(f))
+            spec = json.load(f)
+        self.by_runs = splits_at_spaces(spec)
+        #: What all added tokens begin with; runs that have it keep their letters, as these tokens tell case.
+        self.added = os.path.commonprefix([t["content"] for t in spec.get("added_tokens", ())])
         self.end = end_id
 
         def alone(run: str) -> bytes:
@@ -96,22 +99,8 @@ class Encoder:
                     out[i] = raw[begin:end]
             return out
 
-        ends = {c: alone(c) for c in ".,"}
-        stems_known = Memory(joint)
-
-        def compute(runs: list[str]) -> list[bytes]:
-            """A run is encoded as its stem, in which the normalizer sees the same letters, and the mark after a last letter,
-            which the splitting pattern always parts from a small letter."""
-            stems, tails = [], []
-            for run in runs:
-                stem = run.lower() if run.isascii() else run[0].lower() + run[1:] if run[0].isascii() else run
-                last = stem[-2:-1]
-                tail = ends.get(stem[-1:]) if last.isalpha() and last.islower() else None
-                stems.append(stem if tail is None else stem[:-1])
-                tails.append(tail)
-            return [x if tail is None else x + tail for x, tail in zip(stems_known.values(stems), tails, strict=True)]
-
-        self.known = Memory(compute)
+        self.tails = {c: np.frombuffer(alone(c), "<i4") for c in ".,"}
+        self.known = Memory(joint)
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, ids of these texts, their ends in the ids), a chunk of texts at a time."""
@@ -131,22 +120,47 @@ class Encoder:
     def _runs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         offs = parts.offsets.to_numpy()
-        runs = pc.dictionary_encode(parts.values.slice(offs[0], offs[-1] - offs[0]))
-        found = self.known.values(runs.dictionary.to_pylist())
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat, begin = np.frombuffer(b"".join(found), "<i4"), np.cumsum(size) - size
-        at = runs.indices.to_numpy()
-        n = size[at]
+        offs = offs - offs[0]
+        runs = pc.dictionary_encode(parts.values.slice(parts.offsets[0].as_py(), int(offs[-1])))
+        flat, size = self._distinct(runs.dictionary)
+        # one more run, of the end id, after the runs of each text
+        at = np.insert(runs.indices.to_numpy(), offs[1:], len(size))
+        flat, size = np.append(flat, np.int32(self.end)), np.append(size, 1)
+        begin, n = np.cumsum(size) - size, size[at]
         ends = np.cumsum(n)
-        total = int(ends[-1])
         place = np.repeat(begin[at] - (ends - n), n)
-        place += np.arange(total)
-        ends = np.append(0, ends)[offs[1:] - offs[0]] + np.arange(1, len(texts) + 1)
-        out = np.full(int(ends[-1]), self.end, np.int32)
-        inside = np.ones(len(out), bool)
-        inside[ends - 1] = False
-        out[inside] = flat[place]
-        return out, ends
+        place += np.arange(len(place))
+        return flat[place], ends[offs[1:] + np.arange(len(texts))]
+
+    def _distinct(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct runs one after the other, and how many each has. A run is encoded as its stem, in which the
+        normalizer sees the same letters, and the mark after a last letter, which the splitting pattern always parts from a small
+        letter. Many runs have the same stem."""
+        if not len(runs):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        plain = pc.invert(pc.match_substring(runs, self.added, ignore_case=True))
+        low = pc.if_else(pc.and_(plain, pc.string_is_ascii(runs)), pc.ascii_lower(runs), runs)
+        # a letter and a mark beyond ASCII after it may make one letter in one case alone
+        low = pc.if_else(pc.and_(plain, pc.match_substring_regex(low, "^[A-Z][!-~]")), pc.binary_join_element_wise(pc.ascii_lower(pc.utf8_slice_codeunits(low, 0, 1)), pc.utf8_slice_codeunits(low, 1), pa.scalar("", low.type)), low)
+        which = np.full(len(runs), -1, np.int8)
+        for k, c in enumerate(self.tails):
+            which[pc.match_substring_regex(low, rf"\p{{Ll}}[{c}]$").to_numpy(zero_copy_only=False)] = k
+        cut = pa.array(which >= 0)
+        stems = pc.dictionary_encode(pc.if_else(cut, pc.utf8_slice_codeunits(low, 0, -1), low))
+        found = self.known.values(stems.dictionary.to_numpy(zero_copy_only=False).tolist())
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        tails = list(self.tails.values())
+        pieces = np.concatenate([np.frombuffer(b"".join(found), "<i4"), *tails])
+        first = np.cumsum(n) - n
+        # each run is a row of two pieces: its stem, and its mark or nothing
+        mark_n = np.array([len(x) for x in tails] + [0])
+        mark_first = int(n.sum()) + np.append(np.cumsum(mark_n[:-1]) - mark_n[:-1], 0)
+        at = stems.indices.to_numpy()
+        begin = np.column_stack([first[at], mark_first[which]]).ravel()
+        size = np.column_stack([n[at], mark_n[which]]).ravel()
+        ends = np.cumsum(size)
+        place = np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]))
+        return pieces[place].astype(np.int32), size.reshape(-1, 2).sum(1)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, shards: int | None = None) -> None:

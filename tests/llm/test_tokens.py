@@ -108,6 +108,11 @@ def test_word_bpe_equals_the_library(parts):
     assert encoded(ENCODER, [text])[0] == [*TOKENIZER.encode(text, add_special_tokens=False).ids, 2]
 
 
+@pytest.mark.parametrize("text", ["J\u030cx a", "H\u0331", "W\u030a. T\u0308", "<|ENDOFTEXT|> x", "The<|EndOfText|>.", "Aé. AÉ, ⓐ. ª, É."])
+def test_word_bpe_keeps_letters_whose_case_matters(text):
+    assert encoded(ENCODER, [text, "a", text]) == [[*TOKENIZER.encode(t, add_special_tokens=False).ids, 2] for t in (text, "a", text)]
+
+
 def encoded(encoder, texts):
     out = []
     for _, _, ids, ends in encoder.encode(pa.array(texts, pa.string())):
