@@ -132,7 +132,7 @@ def sizes(docs: DataFrame, n: int) -> DataFrame:
             for i, items, ends in sets_of(b.column(1), n):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(ends)), pa.array(np.diff(ends, prepend=0)), pa.array(names(items, ends))], ["doc_id", "n_shingles", "set_id"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.mapInArrow(K.lean(run), "doc_id long, n_shingles long, set_id long")
 
 
 def dealt(docs: DataFrame, n: int, lengths: Lengths, fragments: int) -> DataFrame:
@@ -183,7 +183,7 @@ def dealt(docs: DataFrame, n: int, lengths: Lengths, fragments: int) -> DataFram
         if rows:
             yield given()
 
-    return docs.mapInArrow(run, "frag int, grams binary, sets binary")
+    return docs.mapInArrow(K.lean(run), "frag int, grams binary, sets binary")
 
 
 def _joined(blobs: list[bytes], kind) -> np.ndarray:
@@ -233,8 +233,8 @@ def shared_counts(pieces: DataFrame, fragments: int) -> DataFrame:
             s, at = np.unique(s, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.bincount(at, n).astype(np.int64))], ["set_id", "shared"])
 
-    counts = pieces.repartition("frag").sortWithinPartitions("frag").mapInArrow(count, "part int, n binary, sets binary")
-    return counts.repartition("part").sortWithinPartitions("part").mapInArrow(total, "set_id long, shared long")
+    counts = pieces.repartition("frag").sortWithinPartitions("frag").mapInArrow(K.lean(count), "part int, n binary, sets binary")
+    return counts.repartition("part").sortWithinPartitions("part").mapInArrow(K.lean(total), "set_id long, shared long")
 
 
 MOST_FILTER_BITS = 27
@@ -259,7 +259,7 @@ def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             out = b.filter(pa.array((known[at >> 6] >> (at & 63)) & 1 == 1))
             yield pa.RecordBatch.from_arrays(out.columns[:2], ["doc_id", "text"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, text string")
+    return docs.where("doc_id is not null").select("doc_id", "text", bit.alias("bit")).mapInArrow(K.lean(run), "doc_id long, text string")
 
 
 def parity(items: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -297,7 +297,7 @@ def members(docs: DataFrame, chosen: DataFrame, n: int, lengths: Lengths) -> Dat
                 columns = [own[at], size[at], np.concatenate([part[first], np.full(len(mine), -1)]).astype(np.int32), np.concatenate([head, np.zeros(len(mine), np.int64)]).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], ["set_id", "n", "part", "head", "items"])
 
-    return rows.mapInArrow(run, "set_id long, n long, part int, head int, items array<long>")
+    return rows.mapInArrow(K.lean(run), "set_id long, n long, part int, head int, items array<long>")
 
 
 def keys(parts: DataFrame, lengths: Lengths) -> DataFrame:
@@ -417,7 +417,7 @@ def cross_pairs(key_rows: DataFrame, comps: DataFrame, parts: DataFrame, percent
         if held:
             yield from found()
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(K.lean(run), "a long, b long").distinct()
 
 
 def merged(comps: DataFrame, links: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def _fitted(docs: DataFrame, label: DataFrame) -> tuple[np.ndarray, float, np.nd
             at = np.searchsorted(row, np.arange(len(b) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel())), pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))], ["_fold", "_good", "_figures", "_buckets"])
 
-    measured = K.written(texts.select("_fold", "_good", "_text").mapInArrow(measure, shape), "labelled-figures")
+    measured = K.written(texts.select("_fold", "_good", "_text").mapInArrow(K.lean(measure), shape), "labelled-figures")
     got = measured.select("_fold", "_good", F.explode("_buckets").alias("b")).groupBy("_fold", "_good", "b").agg(F.count(F.lit(1)).alias("n")).toArrow()
     fold, good, bucket, n = (got.column(i).to_numpy() for i in range(4))
     counts = np.zeros((FOLDS, 2, 2 * BUCKETS))
@@ -152,7 +152,7 @@ def _fitted(docs: DataFrame, label: DataFrame) -> tuple[np.ndarray, float, np.nd
             x = leanings(bucket, row, len(b), by_fold[b.column(0).to_numpy()[row], bucket])
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(x[:, 0]), pa.array(x[:, 1])], ["_good", "_figures", "words", "pairs"])
 
-    known = measured.mapInArrow(lean, "_good int, _figures array<double>, words double, pairs double").toArrow()
+    known = measured.mapInArrow(K.lean(lean), "_good int, _figures array<double>, words double, pairs double").toArrow()
     good = known.column(0).to_numpy().astype(float) if len(known) else np.zeros(0)
     if not 0 < good.sum() < len(good):
         return None
@@ -186,7 +186,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
                 p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p)], shape.names)
 
-    one = K.written(rows.mapInArrow(measure, shape), "evidence")
+    one = K.written(rows.mapInArrow(K.lean(measure), shape), "evidence")
 
     paths = K.written(one.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_n"), F.sum("evidence").alias("_s")), "paths")
     hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_hn"), F.sum("_s").alias("_hs"))

@@ -122,7 +122,7 @@ def figures(docs: DataFrame, host: str = "source") -> tuple[DataFrame, DataFrame
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(x[c]) for c in BASE_COLUMNS[:-1]], pa.array(failed), pa.array(content), *lists], ["doc_id", "text_key", "host", *BASE_COLUMNS, "content", "line", "hash", "words"])
 
     shape = "doc_id long, text_key long, host long, " + ", ".join(f"{c} long" for c in BASE_COLUMNS[:-1]) + ", base_failed boolean, content long, line array<int>, hash array<long>, words array<int>"
-    both = K.written(rows.mapInArrow(base, shape), "lines")
+    both = K.written(rows.mapInArrow(K.lean(base), shape), "lines")
     lines = both.select("doc_id", "text_key", "host", "n_words", "content", F.explode(F.arrays_zip("line", "hash", "words")).alias("x")).select("doc_id", "text_key", "host", "n_words", "content", "x.*")
     return both.drop("content", "line", "hash", "words"), lines
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import components, decontamination, language_id, ngram_join, quality_classifier, quality_rules
+from quillon.llm import components, decontamination, kernels, language_id, ngram_join, quality_classifier, quality_rules
 from tests.llm import brute
 
 WORDS = ["the", "and", "over", "Haus", "größe", "blue", "x", "42", "on-line", "ñandú", "tree", "seven"]
@@ -241,6 +241,13 @@ def test_sparse_sites_shrink_toward_the_mean_above(spark):
     assert quality_classifier._moments(same)[1] == 1e4
 
 
+def test_workers_of_other_operators_keep_nothing():
+    kernels.worker(("vocabulary",), lambda: bytearray(1 << 20))
+    task = kernels.lean(lambda batches: (x + len(kernels._workers) for x in batches))
+    assert list(task(iter([1, 2]))) == [1, 2] and not kernels._workers
+
+
+
 def test_kernels_split_chunks_alike():
     import pyarrow as pa
 
