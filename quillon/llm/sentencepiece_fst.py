@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.forward import MOST_DEPTH, Solved
-from quillon.llm.kernels import Memory, bounded_batches, worker
+from quillon.llm.kernels import Memory, bounded_batches, lean, worker
 from quillon.llm.pieces import BPE, MARK, Pieces
 
 
@@ -155,7 +155,7 @@ class Transducer:
                     out[i] = np.array(ids, "<i4").tobytes()
             return out
 
-        self.known = Memory(compute)
+        self.known = Memory(compute, most=100_000)
         self.raw: list[bytes] = []
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -200,7 +200,7 @@ def _apply(docs: DataFrame, model: str, text: str, shape: str, columns) -> DataF
                 ids = fst.encode(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns(ids, [fst.decode(x) for x in ids], texts)], schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string")).mapInArrow(lean(run, keeps=True), schema)
 
 
 def digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
