@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillon.errors import ValidationError
 from quillon.functions import search
 from quillon.operators import order, predicate, projection
+from quillon.plans import query as plans
+from quillon.spec import CollectionSpec
 
 SCHEMA = "id string, n double, s string, b boolean, t array<string>, m struct<x: double, y: struct<z: string>>"
 ROWS = [
@@ -171,3 +173,38 @@ def test_tokens_and_scores(spark):
     assert rows[4].p == pytest.approx(2 / 3 * (1 + 2 / 5) / math.log(6)) and rows[5].p == pytest.approx(1 / 3 * (1 + 1.5 / 2) / math.log(3)) and rows[3].p == 0
     table = search.token_table(df, "id", ["s"])
     assert ids(search.lookup(table, "id", "d o")) == ["4"]
+
+
+ODD = [
+    "der", "(der", "x-der", "xder der", "der-der", "  der\tder\u00a0der\u3000(der)…", "\u0085der\u0085 der", "…" * 9 + "der", "a" + "§" * 9 + "der", "d'er der's derb, DER!",
+    "漢字der 漢字 der漢字", "schön schöner -schön", "\ufeffder\u2028derb\u205f_der", "", " \n ", "…", None, "der " * 200 + "den", "1.5 der... ...", "ader\nder", "der §", "§ §der§ §",
+]
+
+
+def test_scores_and_matches_of_odd_texts(spark):
+    def points(text, query):
+        got, wanted = search.tokenize(text or ""), search.tokenize(query)
+        hits = sum(any(t.startswith(q) for t in got) for q in wanted)
+        frequency = sum(1.0 if t == q else 0.5 for q in wanted for t in got if t.startswith(q))
+        return hits / len(wanted) * (1 + frequency / len(got)) / math.log1p(len(got)) if hits else 0.0
+
+    df = spark.createDataFrame(list(enumerate(ODD)), "id int, s string")
+    s = F.col("s")
+    for query in ("der", "d", "der der", "der schön", "der's", "1.5 derb", "x-d", "漢der"):
+        rows = df.select("id", search.tokens(s).alias("t"), search.score(s, query).alias("p"), search.matches(s, query).alias("m"), search.matches_any([s], query).alias("a")).orderBy("id").collect()
+        for r, text in zip(rows, ODD, strict=True):
+            has = all(any(t.startswith(q) for t in search.tokenize(text or "")) for q in search.tokenize(query))
+            assert (r.t, r.m, r.a) == (None if text is None else search.tokenize(text), has or text is None, has), (query, text)
+            assert r.p == pytest.approx(points(text, query)), (query, text)
+
+
+def test_search_reads_and_scores_each_row_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.sparkContext.parallelize([(i, f"the {'th ' * (i % 7)} end") for i in range(400)], 4).map(lambda r: (seen.add(1), r)[1])
+    frames = {"docs": spark.createDataFrame(rows, "id int, text string")}
+    specs = {"docs": CollectionSpec(frames["docs"].schema)}
+    out = plans.run("docs", {"where": {"$search": {"query": "the th", "fields": ["text"]}}}, specs, frames)
+    found = out.collect()
+    assert seen.value == 400
+    assert [(r.id, r[plans.SCORE]) for r in found] == sorted([(r.id, r[plans.SCORE]) for r in found], key=lambda x: (-x[1], x[0])) and len(found) == 400
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_") == 1
