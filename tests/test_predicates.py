@@ -208,3 +208,14 @@ def test_search_reads_and_scores_each_row_once(spark):
     assert seen.value == 400
     assert [(r.id, r[plans.SCORE]) for r in found] == sorted([(r.id, r[plans.SCORE]) for r in found], key=lambda x: (-x[1], x[0])) and len(found) == 400
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_") == 1
+
+
+def test_best_rows_of_a_search_need_no_shuffle_and_one_list_of_tokens(spark):
+    texts = ["under order", "wonder-", "(der", "der", "x-der", "derb der", None, "un der"]
+    frames = {"docs": spark.createDataFrame(list(enumerate(texts)), "id int, text string")}
+    out = plans.run("docs", {"where": {"$search": {"query": "der", "fields": ["text"]}}, "limit": 10}, {"docs": CollectionSpec(frames["docs"].schema)}, frames)
+    assert [r.id for r in out.collect()] == [2, 3, 5, 7]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("regexp_") == 1
+    # words around the query's token are ruled out by the pattern that begins with it
+    assert 0 < plan.index(r"der(?<!\wder)") < plan.index(search.BEFORE)
